@@ -36,7 +36,8 @@ def shingle_hashes(w: Column) -> Column:
 
 def _positions(df: DataFrame, *keep: str) -> DataFrame:
     """(keep.., n, p, h): a row for each shingle, n the number of words."""
-    w = df.select(*keep, words(F.col("text")).alias("w"))
+    # a generator keeps the words as a column; else they would be split anew for each shingle
+    w = df.select(*keep, F.explode(F.array(words(F.col("text")))).alias("w"))
     h = w.select(*keep, F.size("w").alias("n"), shingle_hashes(F.col("w")).alias("hs"))
     return h.select(*keep, "n", F.posexplode("hs").alias("p", "h"))
 

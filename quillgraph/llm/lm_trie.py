@@ -38,6 +38,7 @@ ORDER = 3
 SHARD, CHUNK = 4_000_000, 1_000_000
 #: n-grams of each order that training saw less often are left to the level below.
 LEAST = (1, 1, 1, 2)
+_MADE = "shard int, size bigint, file string"
 END = np.uint64(0xE5D0F7E7D)
 _ONE, _64 = np.uint64(1), np.uint64(64)
 
@@ -113,16 +114,23 @@ def ef_encode(values: np.ndarray, prefix: str) -> dict[str, np.ndarray]:
             prefix + "ones": ones[:-1].astype(kind), prefix + "zeros": (np.arange(len(high), dtype=np.int64) * 64 - ones[:-1]).astype(kind)}
 
 
+_BYTES = np.uint64(0x0101010101010101)
+_TOPS = np.uint64(0x8080808080808080)
+#: Place of the r-th one of a byte, at 8 * byte + r.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[r] for b in range(256) for r in range(8)], np.uint8)
+
+
 def _select_in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Place of the r-th one (from 0) of 64-bit words, by halving."""
-    at, r = np.zeros(len(word), np.uint64), r.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        part = (word >> at) & np.uint64((1 << width) - 1)
-        c = np.bitwise_count(part).astype(np.int64)
-        skip = r >= c
-        r = np.where(skip, r - c, r)
-        at = np.where(skip, at + np.uint64(width), at)
-    return at.astype(np.int64)
+    """Place of the r-th one (from 0) of 64-bit words: running counts of all bytes at once, then a table."""
+    r = r.astype(np.uint64)
+    n = word - ((word >> _ONE) & np.uint64(0x5555555555555555))
+    n = (n & np.uint64(0x3333333333333333)) + ((n >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    n = ((n + (n >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _BYTES
+    reached = ((n | _TOPS) - (r + _ONE) * _BYTES) & _TOPS
+    byte = (np.uint64(8) - np.bitwise_count(reached)) << np.uint64(3)
+    r -= (n << np.uint64(8)) >> byte & np.uint64(255)
+    value = (word >> byte) & np.uint64(255)
+    return byte.astype(np.int64) + _IN_BYTE[(value << np.uint64(3)) + r]
 
 
 class EliasFano:
@@ -148,15 +156,25 @@ class EliasFano:
         place = w * 64 + _select_in_word(self.high[w], i - self.ones[w].astype(np.int64))
         return ((place - i).astype(np.uint64) << np.uint64(self.bits)) | self.lows(i)
 
-    def _bucket(self, h: np.ndarray) -> np.ndarray:
-        """How many values have a high part below ``h``."""
-        out = np.zeros(len(h), np.int64)
+    def _buckets(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places [lo, hi) of the values whose high part is ``h``."""
+        place = np.full(len(h), -1, np.int64)
         some = h > 0
         z = h[some].astype(np.int64) - 1
         w = np.searchsorted(self.zeros, z.astype(self.zeros.dtype), "right") - 1
-        place = w * 64 + _select_in_word(~self.high[w], z - self.zeros[w].astype(np.int64))
-        out[some] = place - z
-        return out
+        place[some] = w * 64 + _select_in_word(~self.high[w], z - self.zeros[w].astype(np.int64))
+        lo = place + 1 - h.astype(np.int64)
+        # the ones that follow, up to the next zero; in the next words too if this one ends first
+        at, run = place + 1, np.zeros(len(h), np.int64)
+        live = np.arange(len(h))
+        while len(live):
+            w, p = at[live] >> 6, (at[live] & 63).astype(np.uint64)
+            rest = ~(self.high[np.minimum(w, len(self.high) - 1)] >> p)
+            ones = np.minimum(np.bitwise_count((rest & (~rest + _ONE)) - _ONE), 64 - p.astype(np.int64))
+            run[live] += ones
+            at[live] += ones
+            live = live[(p.astype(np.int64) + ones == 64) & (w + 1 < len(self.high))]
+        return lo, lo + run
 
     def successor(self, wanted: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The place of each wanted value in [first, last), or -1."""
@@ -164,8 +182,8 @@ class EliasFano:
         most = np.uint64(int(self.n and self[np.array([self.n - 1])][0]) >> self.bits)
         inside = (first < last) & (h <= most)
         lo, hi = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        lo[inside] = np.maximum(self._bucket(h[inside]), first[inside])
-        hi[inside] = np.minimum(self._bucket(h[inside] + _ONE), last[inside])
+        start, end = self._buckets(h[inside])
+        lo[inside], hi[inside] = np.maximum(start, first[inside]), np.minimum(end, last[inside])
         low, out = wanted & np.uint64((1 << self.bits) - 1), np.full(len(h), -1, np.int64)
         live, a, b = np.flatnonzero(lo < hi), lo, hi
         end = hi.copy()
@@ -221,13 +239,16 @@ class Level:
             a, pointers, ids = self.shard(int(s))
             local, back = np.unique(context[part] - s * self.per, return_inverse=True)
             first, last = pointers[local].astype(np.int64), pointers[local + 1].astype(np.int64)
-            offset = np.zeros(len(local), np.uint64)
-            some = first > 0
+            offset, full = np.zeros(len(local), np.uint64), first < last
+            some = full & (first > 0)
             offset[some] = ids[first[some] - 1] + _ONE
-            at = ids.successor(word[part].astype(np.uint64) + offset[back], first[back], last[back])
+            value[part] = a["bbook"][a["bq"][local]][back]
+            asked = np.flatnonzero(full[back])
+            of = back[asked]
+            at = ids.successor(word[part][asked].astype(np.uint64) + offset[of], first[of], last[of])
             hit = at >= 0
-            rank[part] = np.where(hit, at + self.base[s], -1)
-            value[part] = np.where(hit, a["book"][a["q"][np.maximum(at, 0)]], a["bbook"][a["bq"][local]][back])
+            place = asked[hit] + cuts[s]
+            rank[place], value[place] = at[hit] + self.base[s], a["book"][a["q"][at[hit]]]
         return rank, value
 
     def word_of(self, rank: np.ndarray) -> np.ndarray:
@@ -253,6 +274,11 @@ class Model:
     order: int
     levels: list[Level]
 
+    @property
+    def kind(self) -> str:
+        """How word ids are stored in encoded texts."""
+        return "<i4" if self.words < 2 ** 31 else "<i8"
+
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word ids (-1: unknown) and training counts of ascending hashes."""
         top = self.levels[0]
@@ -270,14 +296,14 @@ class Model:
         return out, count
 
     def word_logs(self, word: np.ndarray) -> np.ndarray:
-        """log10 probabilities of words alone, by id."""
-        w, back = np.unique(word, return_inverse=True)
-        top, counts = self.levels[0], np.empty(len(w))
-        cuts = np.searchsorted(w, np.array([*top.base, top.size]))
-        for s in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            part = slice(cuts[s], cuts[s + 1])
-            counts[part] = top.shard(int(s))[0]["n"][w[part] - top.base[s]]
-        return self.base_log(counts)[back]
+        """log10 probabilities of words alone, by id (-1: unknown)."""
+        top, counts = self.levels[0], np.zeros(len(word), np.int64)
+        shard = np.searchsorted(top.base, word, "right") - 1
+        for s in np.unique(shard[word >= 0]):
+            at = np.flatnonzero((shard == s) & (word >= 0))
+            # of shards that start alike the last has the words
+            counts[at] = top.shard(int(s))[0]["n"][word[at] - top.base[s]]
+        return self.base_log(counts)
 
     def base_log(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.tokens + self.words + 1))
@@ -333,12 +359,43 @@ def _level_of(rows: list, shards: int, per: int) -> Level:
     return Level(files, base, per, total)
 
 
-def _positions(model: Model, t: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids, training counts and the number of tokens before, in the same text, of each token."""
-    h, back = np.unique(t, return_inverse=True)
-    ids, count = model.ids(h)
-    before = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return ids[back], count[back], before
+def _encode(model: Model):
+    """mapInArrow function: (doc_id, training, text) to word ids as bytes, with what the words alone tell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, t, sizes in _chunks(batches, 2):
+            h, back = np.unique(t, return_inverse=True)
+            ids, count = model.ids(h)
+            starts = np.cumsum(sizes) - sizes
+            known = np.add.reduceat((count > 0).astype(np.int64)[back], starts)
+            base = np.add.reduceat(model.base_log(count)[back], starts)
+            data = ids.astype(model.kind)[back]
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes) * data.itemsize]).astype(np.int32))
+            packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, ends.buffers()[1], pa.py_buffer(data.tobytes())])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), packed, pa.array(known), pa.array(base)],
+                                             ["doc_id", "training", "ids", "n_known", "base_score"])
+
+    return run
+
+
+def encode(docs: DataFrame, model: Model, training) -> DataFrame:
+    """doc_id, training, ids, n_known, base_score: texts as word ids, -1 for unknown words."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), training.alias("training"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_encode(model), "doc_id bigint, training boolean, ids binary, n_known bigint, base_score double")
+
+
+def _coded(batches: Iterator[pa.RecordBatch], column: int, kind: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows with about CHUNK tokens: the rows, word ids, tokens before each in its text, the number of each row's."""
+    for batch in batches:
+        held, size, start = [], 0, 0
+        for i in range(len(batch)):
+            held.append(np.frombuffer(batch.column(column)[i].as_py(), kind))
+            size += len(held[-1])
+            if size >= CHUNK or i + 1 == len(batch):
+                sizes = np.array([len(x) for x in held])
+                before = np.arange(size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield batch.slice(start, i + 1 - start), np.concatenate(held).astype(np.int64), before, sizes
+                held, size, start = [], 0, i + 1
 
 
 def _look_up(level: Level, words: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -360,8 +417,7 @@ def _send(model: Model, n: int, shards: int, per: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for _, t, sizes in _chunks(batches, 0):
-            ids, _, before = _positions(model, t, sizes)
+        for _, ids, before, _ in _coded(batches, 0, model.kind):
             context = np.where(before > 0, np.roll(ids, 1), -1)
             for m in range(2, n):
                 rank, _ = _look_up(model.levels[m - 1], model.words, context, ids)
@@ -442,46 +498,64 @@ def _log_p(model: Model, n: int, context: np.ndarray, word: np.ndarray) -> np.nd
     return out
 
 
-def train(docs: DataFrame, order: int = ORDER) -> Model:
-    """Count every n-gram of every text of ``docs`` and build the trie.
-
-    A null text is empty: one end.  Repeated rows count each.  Without rows all
-    words are unknown.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
-    root = scratch.root if "://" in scratch.root or scratch.root.startswith("file:") else f"file://{scratch.root}"
+def vocabulary(docs: DataFrame, scratch: Scratch) -> tuple[Model, str]:
+    """The first level, from every text of ``docs``, and where the files lie."""
+    root = scratch.root if ":" in scratch.root else f"file://{scratch.root}"
     texts = docs.select(F.col("text").cast("string").alias("text"))
     words = scratch.table(texts.mapInArrow(_count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
     n_words, n_tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = max(0, (n_words // SHARD).bit_length())
     top = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
-    made = "shard int, size bigint, file string"
-    level = words.select("h", "n", top.alias("shard")).groupBy("shard").applyInArrow(_word_shard(root), made).collect()
-    model = Model(n_tokens, n_words, 1, [_level_of(level, 1 << bits, 1 << (64 - bits))])
-    shards = max(1, -(-n_tokens // SHARD))
-    for n in range(2, order + 1 if n_tokens else 0):
+    level = words.select("h", "n", top.alias("shard")).groupBy("shard").applyInArrow(_word_shard(root), _MADE).collect()  # a row for each shard
+    return Model(n_tokens, n_words, 1, [_level_of(level, 1 << bits, 1 << (64 - bits))]), root
+
+
+def grow(model: Model, coded: DataFrame, root: str, order: int) -> Model:
+    """Add the levels up to ``order``, from encoded texts."""
+    shards = max(1, -(-model.tokens // SHARD))
+    for n in range(2, order + 1 if model.tokens else 0):
         per = max(1, -(-model.levels[-1].size // shards))
-        sent = texts.mapInArrow(_send(model, n, shards, per), "shard int, data binary")
-        built = sent.groupBy("shard").applyInArrow(_level_shard(model, n, per, root), made).collect()  # a row for each shard
+        sent = coded.select("ids").mapInArrow(_send(model, n, shards, per), "shard int, data binary")
+        built = sent.groupBy("shard").applyInArrow(_level_shard(model, n, per, root), _MADE).collect()
         model.levels.append(_level_of(built, shards, per))
         model.order = n
     return model
 
 
-def score_texts(model: Model, t: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
-    """Per text: tokens, known tokens, base score and model score (log10)."""
-    ids, count, before = _positions(model, t, sizes)
-    base = model.base_log(count)
-    total = base.copy()
+def score_texts(model: Model, ids: np.ndarray, before: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The log10 probability of each text."""
+    total = model.word_logs(ids)
     context = np.where(before > 0, np.roll(ids, 1), -1)
     for n in range(2, model.order + 1):
         rank, value = _look_up(model.levels[n - 1], model.words, context, ids)
         total = np.where(rank >= 0, value, total + value)
         context = np.where(before > n - 1, np.roll(rank, 1), -1)
-    starts = np.cumsum(sizes) - sizes
-    return {"n_tokens": sizes, "n_known": np.add.reduceat((count > 0).astype(np.int64), starts),
-            "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(total, starts)}
+    return np.add.reduceat(total, np.cumsum(sizes) - sizes)
+
+
+def score_coded(coded: DataFrame, model: Model) -> DataFrame:
+    """doc_id, training, n_tokens, n_known, train_tokens, base_score, score of encoded texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, ids, before, sizes in _coded(batches, 2, model.kind):
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), rows.column(1), pa.array(sizes), rows.column(3), pa.array([model.tokens] * len(rows), pa.int64()),
+                 rows.column(4), pa.array(score_texts(model, ids, before, sizes))],
+                ["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return coded.select("doc_id", "training", "ids", "n_known", "base_score").mapInArrow(
+        run, "doc_id bigint, training boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    """Count every n-gram of every text of ``docs`` and build the trie.
+
+    A null text is empty: one end.  Repeated rows count each.  Without rows all
+    words are unknown.
+    """
+    scratch = Scratch(docs.sparkSession, "lm")
+    model, root = vocabulary(docs, scratch)
+    return grow(model, scratch.table(encode(docs.select(F.lit(None).alias("doc_id"), "text"), model, F.lit(True))), root, order)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -490,13 +564,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have one token, the end.  Repeated rows score alike;
     other columns are ignored; an empty table gives an empty table.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return score_coded(encode(docs, model, F.lit(False)), model).drop("training")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, t, sizes in _chunks(batches, 1):
-            x = score_texts(model, t, sizes)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(x["n_tokens"]), pa.array(x["n_known"]), pa.array([model.tokens] * len(rows), pa.int64()),
-                 pa.array(x["base_score"]), pa.array(x["score"])], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+def train_and_score(docs: DataFrame, training, order: int = ORDER) -> DataFrame:
+    """Train on the rows where ``training`` holds and score all rows, which are encoded but once.
+
+    The columns of ``score``, and ``training``.
+    """
+    scratch = Scratch(docs.sparkSession, "lm")
+    model, root = vocabulary(docs.where(training), scratch)
+    coded = scratch.table(encode(docs, model, F.coalesce(training, F.lit(False))))
+    return score_coded(coded, grow(model, coded.where("training"), root, order))

@@ -52,8 +52,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its log10 probability under the n-gram model and under the base."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = lm_trie.train(docs.where(~(_fold(7).eqNullSafe(2))))
-    out = lm_trie.score(docs, model)
+    out = lm_trie.train_and_score(docs, ~_fold(7).eqNullSafe(2))
     return out.select("doc_id", (_fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -38,6 +38,8 @@ ORDER = 3
 SHARD, CHUNK = 4_000_000, 1_000_000
 #: n-grams of each order that training saw less often are left to the level below.
 LEAST = (1, 1, 1, 2)
+#: Code of contexts that nothing follows.
+_EMPTY = 255
 _MADE = "shard int, size bigint, file string"
 END = np.uint64(0xE5D0F7E7D)
 _ONE, _64 = np.uint64(1), np.uint64(64)
@@ -225,6 +227,19 @@ class Level:
             self._open[s] = (a, EliasFano(a, "p"), EliasFano(a, "i")) if "pb" in a else (a, None, None)
         return self._open[s]
 
+    def live(self, context: np.ndarray) -> np.ndarray:
+        """The contexts, with -1 for those that nothing follows; they cost no back-off."""
+        out = np.full(len(context), -1, np.int64)
+        shard = np.where(context >= 0, context // self.per, len(self.files)).astype(np.int16 if len(self.files) < 2 ** 15 else np.int64)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(len(self.files) + 1))
+        for s in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            at = order[cuts[s]:cuts[s + 1]]
+            if self.files[s]:
+                some = at[self.shard(int(s))[0]["bq"][context[at] - s * self.per] != _EMPTY]
+                out[some] = context[some]
+        return out
+
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (-1 if absent) and log10 probability of n-grams; absent ones get the context's back-off weight.
 
@@ -401,6 +416,7 @@ def _coded(batches: Iterator[pa.RecordBatch], column: int, kind: str) -> Iterato
 def _look_up(level: Level, words: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``Level.find`` for contexts in any order, each n-gram looked up once; -1 as context or word is absent."""
     rank, value = np.full(len(word), -1, np.int64), np.zeros(len(word), np.float32)
+    context = level.live(context)
     ok = np.flatnonzero((context >= 0) & (word >= 0))
     key, back = np.unique(context[ok] * words + word[ok], return_inverse=True)
     r, v = level.find(key // words, key % words)
@@ -438,9 +454,9 @@ def _send(model: Model, n: int, shards: int, per: int):
 
 
 def _quantised(x: np.ndarray, name: str) -> dict[str, np.ndarray]:
-    """One byte for each value, and the 256 values of a codebook at even quantiles."""
+    """One byte for each value, and a codebook of 255 values at even quantiles."""
     kinds = np.unique(x)
-    book = kinds if len(kinds) <= 256 else np.unique(np.quantile(x, (np.arange(256) + 0.5) / 256))
+    book = kinds if len(kinds) <= _EMPTY else np.unique(np.quantile(x, (np.arange(_EMPTY) + 0.5) / _EMPTY))
     q = np.searchsorted((book[1:] + book[:-1]) / 2, x).astype(np.uint8)
     return {name + "q": q, name + "book": np.resize(book, 256).astype(np.float32) if len(book) else np.zeros(256, np.float32)}
 
@@ -482,7 +498,10 @@ def _level_shard(model: Model, n: int, per: int, root: str):
         offset = np.concatenate([[0], np.cumsum(np.where(span, last + 1, 0))[:-1]]).astype(np.int64)  # one more, so that contexts never touch
         ids = word + offset[ctx]
         path = f"{root}/{n}-{s}.trie"
-        save(path, pack({**ef_encode(starts, "p"), **ef_encode(ids, "i"), **_quantised(p, ""), **_quantised(np.log10(np.maximum(back, 1e-6)), "b")}))
+        weights = _quantised(np.log10(np.maximum(back[span], 1e-6)), "b")
+        codes = np.full(per, _EMPTY, np.uint8)
+        codes[span] = weights["bq"]
+        save(path, pack({**ef_encode(starts, "p"), **ef_encode(ids, "i"), **_quantised(p, ""), **weights, "bq": codes}))
         return pa.table({"shard": pa.array([s], pa.int32()), "size": pa.array([len(word)], pa.int64()), "file": [path]})
 
     return run

@@ -13,7 +13,7 @@ EXTENSIONS = (".md", ".txt", ".json", ".jsonl")
 
 def read_texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, text, modified, size) of every file below ``root`` whose name fits."""
-    rows = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(root))
+    rows = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True))
     path = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:/+", "/")
     return rows.select(path.alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"))
 

@@ -13,7 +13,7 @@ OUTCOMES, FAILURES = 6, 4
 
 def read_logs(spark: SparkSession, root: str) -> DataFrame:
     """(path, line, raw): numbered lines of every ``rollout-*.jsonl`` below ``root``."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "rollout-*.jsonl").option("wholetext", True).text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "rollout-*.jsonl").text(root, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "raw")).select("path", (F.col("pos") + 1).alias("line"), "raw")
 
 

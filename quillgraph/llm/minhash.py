@@ -9,10 +9,10 @@
 3. Every member of a list is paired with the list's pivots (one per slot of the
    id's hash), union-sketch estimation drops pairs far below the threshold and
    the full sets decide.  So a group of n copies costs O(n) pairs.
-4. Then every list that still holds more than one component is finished: its
-   members outside its main component are paired with all members of other
-   components.  No pair of different components that share a list stays
-   unchecked, whatever the list's length.
+4. Classes in lists that still hold more than one component are paired across
+   components by an exact prefix filter on their full sets.  No link between
+   components that share a list is lost, whatever the list's length, and texts
+   that merely share a common passage make no pairs.
 """
 
 from __future__ import annotations
@@ -53,19 +53,30 @@ def _pivot_pairs(lists: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
 
 
-def _rest_pairs(lists: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs across components in lists that hold more than one."""
+def _rest_pairs(lists: DataFrame, comps: DataFrame, full: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs across components for the classes of lists that hold more than one.
+
+    Sketches tell 1/2 from 3/4 but coarsely, so these classes are paired by their
+    full sets: a link needs 3/4 of the larger set and 6/7 of the smaller, so it
+    shows among the rarest 1/4 of the one and 1/7 of the other.
+    """
     sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     named = scratch.table(comps.join(apart(sizes), "component").select(F.col("node").alias("doc"), "component", "size"))
-    rows = lists.join(named, "doc", "left").select(
-        "value", "doc", F.coalesce("component", "doc").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
-    rows = scratch.table(rows)
-    mixed = (rows.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                       F.max(F.struct("size", "component")).alias("main"))
-             .where("lo < hi").select("value", F.col("main.component").alias("main")))
-    rows = scratch.table(rows.join(apart(mixed), "value"))
-    few = rows.where("component <> main").select("value", F.col("doc").alias("x"), F.col("component").alias("xc"))
-    both = few.join(rows, "value").where("xc <> component and (component = main or x < doc)")
+    rows = scratch.table(lists.join(named, "doc", "left").select("value", "doc", F.coalesce("component", "doc").alias("component")))
+    mixed = rows.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
+    docs = scratch.table(rows.join(apart(mixed), "value").select("doc", "component").distinct())
+    sets = full.join(docs, F.col("doc_id") == F.col("doc")).select("doc", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("value"))
+    sets = scratch.table(sets)
+    # what one component holds alone is no way to another; it comes first in the order
+    held = sets.groupBy("value").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value", "df")
+    mine = Window.partitionBy("doc")
+    place = F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "value"))
+    ranked = sets.join(apart(held), "value").select("value", "doc", "component", "n", place.alias("place"))
+    probe = scratch.table(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1))
+    least = F.ceil(F.col("n") * 2 * PERCENT / (100 + PERCENT))
+    index = probe.where(F.col("place") <= F.col("n") - least + 1).select("value", F.col("doc").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"))
+    smaller = (F.col("xn") < F.col("n")) | ((F.col("xn") == F.col("n")) & (F.col("x") < F.col("doc")))
+    both = index.join(probe, "value").where((F.col("xc") != F.col("component")) & smaller & (F.col("xn") * 100 >= F.col("n") * PERCENT))
     return both.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
 
 
@@ -105,7 +116,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = scratch.table(texts.join(listed, "doc_id", "left_semi").mapInArrow(shingles.sets, "doc_id bigint, shingles array<bigint>"))
     comps = components(_links(scratch.table(_pivot_pairs(lists, scratch)), classes, full, scratch), scratch)
     seen = Observation()
-    rest = scratch.table(_rest_pairs(lists, comps, scratch), seen)
+    rest = scratch.table(_rest_pairs(lists, comps, full, scratch), seen)
     if seen.get["n"]:
         again = _links(rest, classes, full, scratch)
         comps = components(again.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)

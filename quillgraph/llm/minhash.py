@@ -74,9 +74,12 @@ def _rest_pairs(lists: DataFrame, comps: DataFrame, full: DataFrame, scratch: Sc
     ranked = sets.join(apart(held), "value").select("value", "doc", "component", "n", place.alias("place"))
     probe = scratch.table(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1))
     least = F.ceil(F.col("n") * 2 * PERCENT / (100 + PERCENT))
-    index = probe.where(F.col("place") <= F.col("n") - least + 1).select("value", F.col("doc").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"))
+    index = probe.where(F.col("place") <= F.col("n") - least + 1).select("value", F.col("doc").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"), F.col("place").alias("xp"))
     smaller = (F.col("xn") < F.col("n")) | ((F.col("xn") == F.col("n")) & (F.col("x") < F.col("doc")))
-    both = index.join(probe, "value").where((F.col("xc") != F.col("component")) & smaller & (F.col("xn") * 100 >= F.col("n") * PERCENT))
+    # from the first shared value on, no more can be shared than either set has left
+    most = 1 + F.least(F.col("xn") - F.col("xp"), F.col("n") - F.col("place"))
+    both = index.join(probe, "value").where((F.col("xc") != F.col("component")) & smaller & (F.col("xn") * 100 >= F.col("n") * PERCENT)
+                                            & (most * (100 + PERCENT) >= (F.col("xn") + F.col("n")) * PERCENT))
     return both.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
 
 

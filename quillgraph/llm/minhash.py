@@ -10,7 +10,8 @@
    id's hash), union-sketch estimation drops pairs far below the threshold and
    the full sets decide.  So a group of n copies costs O(n) pairs.
 4. Classes in lists that still hold more than one component are paired across
-   components by an exact prefix filter on their full sets.  No link between
+   components by an exact prefix filter on their full sets, first with a few
+   near pivots, then with all that is left.  No link between
    components that share a list is lost, whatever the list's length, and texts
    that merely share a common passage make no pairs.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from . import shingles
 from .common import Scratch, apart, components, own, with_decision
 
-K, SLOTS, PERCENT = 64, 16, 75
+K, SLOTS, NEAREST, PERCENT = 64, 6, 10, 75
 
 
 def _sketch_rows(docs: DataFrame) -> DataFrame:
@@ -53,12 +54,14 @@ def _pivot_pairs(lists: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
 
 
-def _rest_pairs(lists: DataFrame, comps: DataFrame, full: DataFrame, scratch: Scratch) -> DataFrame:
+def _rest_pairs(lists: DataFrame, comps: DataFrame, full: DataFrame, scratch: Scratch, pivots: bool) -> DataFrame:
     """Pairs across components for the classes of lists that hold more than one.
 
     Sketches tell 1/2 from 3/4 but coarsely, so these classes are paired by their
     full sets: a link needs 3/4 of the larger set and 6/7 of the smaller, so it
-    shows among the rarest 1/4 of the one and 1/7 of the other.
+    shows among the rarest 1/4 of the one and 1/7 of the other.  With ``pivots``
+    a class meets only the smallest set of its rarest lists, NEAREST of them, to
+    merge large groups before all pairs are made.
     """
     sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     named = scratch.table(comps.join(apart(sizes), "component").select(F.col("node").alias("doc"), "component", "size"))
@@ -75,6 +78,12 @@ def _rest_pairs(lists: DataFrame, comps: DataFrame, full: DataFrame, scratch: Sc
     probe = scratch.table(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1))
     least = F.ceil(F.col("n") * 2 * PERCENT / (100 + PERCENT))
     index = probe.where(F.col("place") <= F.col("n") - least + 1).select("value", F.col("doc").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"), F.col("place").alias("xp"))
+    if pivots:
+        firsts = index.groupBy("value").agg(F.min(F.struct("xn", "x", "xc")).alias("p"))
+        met = probe.join(apart(firsts), "value").where((F.col("p.xc") != F.col("component")) & (F.col("p.xn") * 100 >= F.col("n") * PERCENT) & (F.col("n") * 100 >= F.col("p.xn") * PERCENT))
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("p.x").alias("x")))), lambda r: r["x"])
+        few = met.groupBy("doc").agg(F.slice(F.array_distinct(ordered), 1, NEAREST).alias("xs")).select("doc", F.explode("xs").alias("x"))
+        return few.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
     smaller = (F.col("xn") < F.col("n")) | ((F.col("xn") == F.col("n")) & (F.col("x") < F.col("doc")))
     # from the first shared value on, no more can be shared than either set has left
     most = 1 + F.least(F.col("xn") - F.col("xp"), F.col("n") - F.col("place"))
@@ -118,11 +127,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     listed = lists.select(F.col("doc").alias("doc_id")).distinct()
     full = scratch.table(texts.join(listed, "doc_id", "left_semi").mapInArrow(shingles.sets, "doc_id bigint, shingles array<bigint>"))
     comps = components(_links(scratch.table(_pivot_pairs(lists, scratch)), classes, full, scratch), scratch)
-    seen = Observation()
-    rest = scratch.table(_rest_pairs(lists, comps, full, scratch), seen)
-    if seen.get["n"]:
-        again = _links(rest, classes, full, scratch)
-        comps = components(again.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
+    for pivots in (True, False):
+        seen = Observation()
+        rest = scratch.table(_rest_pairs(lists, comps, full, scratch, pivots), seen)
+        if seen.get["n"]:
+            again = _links(rest, classes, full, scratch)
+            comps = components(again.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     placed = rows.select("doc_id", *same).join(named, same, "left")
     alone = F.col("n").eqNullSafe(0) | F.col("doc_id").isNull()

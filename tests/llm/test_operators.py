@@ -46,6 +46,24 @@ def test_substring_finds_planted_passages(spark):
     assert exact and exact[0]["n_words"] >= 60 and exact[0]["start_word"] <= 80
 
 
+def edited_pairs(rng, count):
+    """Documents 2k and 2k + 1 hold a passage of 51 words and the same with a word more in its middle."""
+    rows = []
+    for k in range(count):
+        one = prose(rng, 51, 10_000).split()
+        two = [*one[:25], "inserted", *one[25:]]
+        rows += [(2 * k + s, f"{prose(rng, 80, 10_000)} {' '.join(p)} {prose(rng, 80, 10_000)}") for s, p in enumerate((one, two))]
+    return rows
+
+
+def test_substring_finds_passages_with_an_insertion(spark):
+    got = substring.repeated_passages(spark.createDataFrame(edited_pairs(random.Random(11), 60), "doc_id bigint, text string")).collect()
+    found = {(r["doc_id"], r["other_id"]) for r in got}
+    pairs = sum((2 * k, 2 * k + 1) in found for k in range(60))
+    print("pairs found", pairs)
+    assert pairs >= 58
+
+
 def test_compact_windows_cover_every_passage():
     rng = np.random.default_rng(2)
     s = rng.integers(0, 50, 80).astype(np.uint64)

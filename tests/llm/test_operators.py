@@ -64,6 +64,29 @@ def test_substring_finds_passages_with_an_insertion(spark):
     assert pairs >= 58
 
 
+def test_substring_goes_on_beyond_a_first_text_that_holds_less(spark):
+    rng, rows = random.Random(12), []
+    for k in range(40):
+        p = prose(rng, 50, 10_000).split()
+        rows += [(3 * k + s, f"{prose(rng, 80, 10_000)} {' '.join(p[:49] if s == 0 else p)} {prose(rng, 80, 10_000)}") for s in range(3)]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    found = {(r["doc_id"], r["other_id"]) for r in got}
+    pairs = sum((3 * k + 1, 3 * k + 2) in found for k in range(40))
+    print("pairs found", pairs)
+    assert pairs == 40
+
+
+def test_substring_links_a_text_with_one_that_is_settled(spark):
+    """A and B agree, B and C agree, A and C don't: C is still found."""
+    rng, rows = random.Random(13), []
+    for k in range(20):
+        p = prose(rng, 90, 10_000).split()
+        rows += [(3 * k + s, f"{prose(rng, 80, 10_000)} {' '.join(x)} {prose(rng, 80, 10_000)}") for s, x in enumerate((p[:55], p, p[30:]))]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    found = {(r["doc_id"], r["other_id"]) for r in got}
+    assert all((3 * k, 3 * k + 1) in found and (3 * k + 1, 3 * k + 2) in found for k in range(20))
+
+
 def test_compact_windows_cover_every_passage():
     rng = np.random.default_rng(2)
     s = rng.integers(0, 50, 80).astype(np.uint64)

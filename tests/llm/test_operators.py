@@ -87,6 +87,27 @@ def test_substring_links_a_text_with_one_that_is_settled(spark):
     assert all((3 * k, 3 * k + 1) in found and (3 * k + 1, 3 * k + 2) in found for k in range(20))
 
 
+def test_substring_reports_each_passage_of_a_pair(spark):
+    rng = random.Random(14)
+    p, q, run = prose(rng, 60, 10_000), prose(rng, 70, 10_000), "a b c " * 20
+    gap = [prose(rng, 100, 10_000) for _ in range(8)]
+    rows = [(1, f"{gap[0]} {p} {gap[1]} {q}"), (2, f"{q} {gap[2]} {p} {gap[3]}"),
+            (3, f"{gap[4]} {run} {gap[5]}"), (4, f"{run * 10} {gap[6]} {run}")]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    mine = sorted((r["start_word"], r["n_words"], r["other_start"]) for r in got if r["doc_id"] == 1)
+    assert mine == [(100, 60, 170), (260, 70, 0)]
+    assert {(r["doc_id"], r["other_id"]) for r in got} >= {(1, 2), (2, 1), (3, 4), (4, 3)}
+
+
+def test_compare_goes_on_after_a_rejected_stretch():
+    rng = np.random.default_rng(15)
+    run, tail, gap = rng.integers(0, 1 << 62, 3).astype(np.uint64), rng.integers(0, 1 << 62, 50).astype(np.uint64), rng.integers(0, 1 << 62, 90).astype(np.uint64)
+    x = np.concatenate([np.tile(run, 30), gap[:30], tail])
+    y = np.concatenate([np.tile(run, 300), gap[30:60], tail, gap[60:]])
+    got = substring.compare(x, y, 46, 75)
+    assert {(i, j) for i, j, p, q, s in got if s >= 0.75 and j - i >= 46 and q - p >= 46} >= {(120, 170)} and any(j <= 90 for i, j, *_ in got)
+
+
 def test_compact_windows_cover_every_passage():
     rng = np.random.default_rng(2)
     s = rng.integers(0, 50, 80).astype(np.uint64)

@@ -85,18 +85,27 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, root: str, depth: int, max
     for level in range(1, max(0, min(6, depth)) + 1):
         front = spark.createDataFrame([(n, i) for i, n in enumerate(order)], "src string, pos int")
         events = steps.join(F.broadcast(front), "src").join(visible.select(F.col("id").alias("dst")), "dst", "left_semi")
-        # enough events to fill what is left, whatever part of them repeats
-        rows = events.orderBy("pos", "id").select("id", "dst").limit(2 * (max_edges - len(used)) + 2 * len(used) + 2).collect()
-        order = []
-        for edge, node in ((r["id"], r["dst"]) for r in rows):
-            if edge in used or len(used) >= max_edges:
-                continue
-            if node not in found:
-                if len(found) >= max_nodes:
+        order, at = [], None
+        while len(used) < max_edges:
+            # pages in order; once the nodes are full, only edges between known ones
+            full = len(found) >= max_nodes
+            page = events.where(F.col("dst").isin(*found)) if full else events
+            if at:
+                page = page.where((F.col("pos") > at[0]) | ((F.col("pos") == at[0]) & (F.col("id") > at[1])))
+            size = 2 * max_edges + 2
+            rows = page.orderBy("pos", "id").select("pos", "id", "dst").limit(size).collect()
+            for r in rows:
+                at = (r["pos"], r["id"])
+                if r["id"] in used or len(used) >= max_edges:
                     continue
-                found[node] = level
-                order.append(node)
-            used[edge] = True
+                if r["dst"] not in found:
+                    if len(found) >= max_nodes:
+                        continue
+                    found[r["dst"]] = level
+                    order.append(r["dst"])
+                used[r["id"]] = True
+            if len(rows) < size:
+                break
         if not order:
             break
     return spark.createDataFrame(list(found.items()), "id string, depth int"), spark.createDataFrame([(e,) for e in used], "id string")

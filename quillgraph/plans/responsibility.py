@@ -2,7 +2,7 @@
 
 The walk goes level by level.  A level's events are joins of the frontier with
 the edges; window sums decide which fit the budgets.  Only the plan itself, whose
-size its budgets bound, is ever held.
+size its budgets bound, is ever held; what was left out stays a DataFrame.
 """
 
 from __future__ import annotations
@@ -61,6 +61,11 @@ class Plan:
     exhausted: dict[str, bool]
 
 
+def _after(at: tuple[int, str]):
+    """Events later in a level than (position, edge)."""
+    return (F.col("pos") > at[0]) | ((F.col("pos") == at[0]) & (F.col("id") > at[1]))
+
+
 def build(nodes: DataFrame, edges: DataFrame, request: str, scope: str, project: str | None, now: str, limits: Limits = Limits(), explicit: list[str] = (), changed: DataFrame | None = None) -> Plan:
     """The plan for a request.  ``nodes`` has id, kind, scope, project, label, content, metadata, modified."""
     spark = nodes.sparkSession
@@ -111,6 +116,7 @@ def build(nodes: DataFrame, edges: DataFrame, request: str, scope: str, project:
         admit(node, facts[node], 0, None, True)
     order = list(picked)
     steps = g.both_ways(edges)
+    parts = []
     for level in range(limits.hops + 1):
         if not order:
             break
@@ -118,32 +124,66 @@ def build(nodes: DataFrame, edges: DataFrame, request: str, scope: str, project:
         events = steps.join(front, "src")
         kind_ok = F.col("kind").isin(*limits.kinds) if limits.kinds is not None else F.lit(True)
         fit = kind_ok & (F.col("confidence") >= limits.confidence)
+        reason = F.when(~kind_ok, "kind-filter").otherwise("confidence-filter")
+        parts.append(events.where(~fit).select(reason.alias("reason"), F.col("dst").alias("node"), F.col("id").alias("edge")))
         if level == limits.hops:
-            flags["hops"] = bool(events.where(fit).limit(1).collect())
+            over = events.where(fit).select(F.lit("hop-limit").alias("reason"), F.col("dst").alias("node"), F.col("id").alias("edge"))
+            flags["hops"] = not over.isEmpty()
+            parts.append(over)
             break
-        # kind and confidence first; then each edge's first event, in order, until both budgets must be used up
+        # kind and confidence first; then each edge's first event, in order
         w = Window.partitionBy("id").orderBy("pos")
         fresh = events.where(fit).select("*", F.row_number().over(w).alias("n")).where("n = 1")
         if used:
             fresh = fresh.join(F.broadcast(spark.createDataFrame([(e,) for e in used], "id string")), "id", "left_anti")
         info = seen.select(F.col("id").alias("dst"), "in_scope", "is_fresh", "size")
-        rows = fresh.join(info, "dst").orderBy("pos", "id").limit(16 * (limits.nodes + limits.edges)).collect()
-        for r in events.where(~fit).select(F.when(~kind_ok, "kind-filter").otherwise("confidence-filter").alias("reason"), "dst", "id").distinct().orderBy("id", "dst").limit(1000).collect():
-            left_out.add((r["reason"], r["dst"], r["id"]))
-        order = []
-        for r in rows:
-            if len(used) >= limits.edges:
-                flags["edges"] = True
-                left_out.add(("edge-budget", r["dst"], r["id"]))
-                continue
-            new = r["dst"] not in picked
-            if admit(r["dst"], r.asDict(), level + 1, r["id"], False):
+        fresh = fresh.join(info, "dst")
+        able = F.col("in_scope") & F.col("is_fresh") & (F.col("size") >= 0)
+        order, at, closed = [], None, None
+        while len(used) < limits.edges:
+            # only what can be taken: known nodes, and admissible ones as long as the budgets are open
+            full = len(picked) >= limits.nodes or room["chars"] <= 0 or room["tokens"] <= 0
+            if full and closed is None:
+                closed = at or (-1, "")
+            known = F.col("dst").isin(*picked)
+            page = fresh.where(known if full else known | able)
+            size = limits.edges - len(used)
+            rows = (page.where(_after(at)) if at else page).orderBy("pos", "id").limit(size).collect()
+            stopped = False
+            for r in rows:
+                new = r["dst"] not in picked
+                if new and (len(picked) >= limits.nodes or room["chars"] <= 0 or room["tokens"] <= 0):
+                    stopped = True
+                    break
+                admit(r["dst"], r.asDict(), level + 1, r["id"], False)
                 used[r["id"]] = level + 1
+                at = (r["pos"], r["id"])
                 if new:
                     order.append(r["dst"])
+                    if len(picked) >= limits.nodes or room["chars"] <= 0 or room["tokens"] <= 0:
+                        stopped = True
+                        break
+            if not stopped and len(rows) < size:
+                break
+        if closed is None and (len(picked) >= limits.nodes or room["chars"] <= 0 or room["tokens"] <= 0):
+            closed = at or (-1, "")
+        spent = _after(at or (-1, "")) if len(used) >= limits.edges else F.lit(False)
+        shut = _after(closed) if closed else F.lit(False)
+        nodes_shut = shut if len(picked) >= limits.nodes else F.lit(False)
+        why = F.when(spent, "edge-budget").when(nodes_shut, "node-budget").when(~F.col("in_scope"), "scope-mismatch").when(F.col("size") < 0, "missing-revision").when(
+            ~F.col("is_fresh"), "stale").when(shut & F.lit(room["chars"] <= 0), "char-budget").otherwise("token-budget")
+        taken = F.broadcast(spark.createDataFrame([(e,) for e in used], "id string"))
+        rest = fresh.join(taken, "id", "left_anti").select(why.alias("reason"), F.col("dst").alias("node"), F.col("id").alias("edge"))
+        parts.append(rest)
+        met = {r["reason"] for r in rest.select("reason").distinct().collect()}
+        for flag in ("nodes", "edges", "chars", "tokens"):
+            flags[flag] |= f"{flag[:-1]}-budget" in met
     chosen = spark.createDataFrame([(n, *v) for n, v in picked.items()], "id string, depth int, chars int, tokens int, seed boolean")
     edge_rows = spark.createDataFrame(list(used.items()), "id string, depth int")
     out = spark.createDataFrame(sorted(left_out, key=str), "reason string, node string, edge string")
+    for part in parts:
+        out = out.unionByName(part)
+    out = out.distinct().orderBy("reason", "node", "edge")
     return Plan(chosen.orderBy("depth", "id"), edge_rows.orderBy("id"), out, units(chosen, nodes), flags)
 
 

@@ -133,6 +133,30 @@ def test_neighbourhood_limits(spark):
     assert graph.reach(e, spark.createDataFrame([("n1",)], "id string"), 2).count() == 9
 
 
+def hub(spark, bad):
+    """A hub n0 whose first ``bad`` edges lead to stale nodes, the last to a fresh one; n0 and n1 are linked twice."""
+    now = "2026-07-10T00:00:00Z"
+    rows = [(f"n{i}", "memory", "global", None, f"n{i}", "text", None, now if i < 3 else "2020-01-01T00:00:00Z") for i in range(bad + 3)]
+    nodes = spark.createDataFrame(rows, "id string, kind string, scope string, project string, label string, content string, metadata string, modified string")
+    ends = [(f"e{i:05d}", f"n{i + 3}") for i in range(bad)] + [("f1", "n1"), ("f2", "n1"), ("f3", "n2")]
+    return nodes, spark.createDataFrame([(e, "n0", n, "SUPPORTS", 1.0) for e, n in ends], "id string, source_node_id string, target_node_id string, kind string, confidence double")
+
+
+def test_plan_sees_all_edges_of_a_hub(spark):
+    nodes, e = hub(spark, 1300)
+    p = responsibility.build(nodes, e, "", "global", None, "2026-07-10T00:00:00Z", responsibility.Limits(days=30, hops=1), explicit=["n0"])
+    assert [r["id"] for r in p.nodes.collect()] == ["n0", "n1", "n2"] and {r["id"] for r in p.edges.collect()} == {"f1", "f2", "f3"}
+    reasons = p.exclusions.groupBy("reason").count().collect()
+    assert {r["reason"]: r["count"] for r in reasons} == {"stale": 1300, "hop-limit": 3}
+
+
+def test_neighbourhood_sees_all_edges_of_a_hub(spark):
+    nodes, e = hub(spark, 60)
+    e = e.unionByName(e.where("id = 'e00000'").withColumn("id", F.lit("f9")))
+    found, used = graph.neighbourhood(nodes, e, "n0", 1, 2, 4)
+    assert {r["id"] for r in found.collect()} == {"n0", "n3"} and {r["id"] for r in used.collect()} == {"e00000", "f9"}
+
+
 def line(kind, **payload):
     return json.dumps({"timestamp": "2026-07-01T00:00:00Z", "type": kind, "payload": payload})
 

@@ -36,8 +36,8 @@ from .common import Scratch
 ORDER = 3
 #: Tokens for each shard of a level; tokens that a task handles at once.
 SHARD, CHUNK = 4_000_000, 1_000_000
-#: n-grams of each order that training saw less often are left to the level below.
-LEAST = (1, 1, 1, 2)
+#: n-grams of each order that training saw less often are left to the level below; ones keep all.
+LEAST = (1, 1, 1, 1)
 #: Code of contexts that nothing follows.
 _EMPTY = 255
 _MADE = "shard int, size bigint, file string"

@@ -214,6 +214,13 @@ def test_trie_against_dictionaries(spark, odd, none, monkeypatch):
     assert lm_trie.score(odd, lm_trie.train(none)).where("n_known = 0").count() == odd.count()
 
 
+def test_lm_keeps_trigrams_seen_once(spark):
+    """The two texts differ in nothing but the trigram that training saw."""
+    docs = spark.createDataFrame([(1, "a b c"), (2, "x b d")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_trie.score(docs.unionByName(spark.createDataFrame([(3, "x b c")], docs.schema)), lm_trie.train(docs)).collect()}
+    assert got[1] > got[3] + 0.05
+
+
 def test_elias_fano_round_trip():
     rng = np.random.default_rng(1)
     for n, top in ((0, 1), (1, 0), (1000, 5), (1000, 10 ** 9), (500, 700)):

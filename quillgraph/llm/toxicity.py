@@ -1,7 +1,7 @@
 """Toxicity (9): compression distance with zstandard dictionaries.
 
-Two dictionaries are trained on labelled text, one on ordinary and one on toxic
-windows.  Both hold the ordinary dictionary's content, so that a window of plain
+One dictionary is trained, on ordinary windows.  There are two of raw content:
+both hold the ordinary dictionary's, so that a window of plain
 prose costs the same under either; the toxic one begins with the segments that
 toxic text has and ordinary text has not.  A window of a few words is compressed
 with each; the bytes that the toxic dictionary saves are its gain.  A text's

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 WIDTH = 5
-_CACHE = 400_000
+_CACHE = 150_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 

@@ -4,20 +4,25 @@ Level 1 has the training words' 64-bit hashes in order; a word's rank is its id.
 Level n has, for each n-gram of level n - 1 (its context, by rank), the ids of the
 words that follow.  Start offsets and ids are monotone sequences (ids by adding
 the last sum of the context before) in Elias-Fano form; a smoothed log
-probability and a back-off weight take one byte each, by a codebook.  An n-gram
-is found by looking for the successor of its id inside its context's range.
-
-Every level is built by Spark: tasks count the n-grams of their documents, send
-them packed to the shard of their context, and each shard merges its counts and
-writes one file to the folder that the cluster shares.  Tasks map these files into
-memory, so they are never sent anywhere and take no heap.
-Probabilities are interpolated with absolute discounting; the lowest level is
-add-one over the vocabulary and one unknown word.
+probability and a back-off weight take one byte each, on one even scale.  An
+n-gram is found by looking for the successor of its id inside its context's range.
+
+Every level is built by Spark from texts that were split and hashed once: tasks
+count the n-grams of their texts and send them packed to the shard of their key
+(context, word).  Shards hold about equal numbers of tokens; a frequent context is
+several shards.  Each shard merges its counts; when all have, the discount of the
+order and the sums of split contexts are known, and each writes one file to the
+folder that the cluster shares.  Tasks map these files into memory, so they are
+never sent anywhere and take no heap.
+Probabilities are interpolated with absolute discounting, one discount an order;
+the lowest level is add-one over the vocabulary and one unknown word.  No score
+depends on how many shards there are.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
 import uuid
 from collections.abc import Iterator
@@ -35,12 +40,11 @@ from .common import Scratch
 
 ORDER = 3
 #: Tokens for each shard of a level; tokens that a task handles at once.
-SHARD, CHUNK = 4_000_000, 1_000_000
-#: n-grams of each order that training saw less often are left to the level below; ones keep all.
-LEAST = (1, 1, 1, 1)
+SHARD, CHUNK = 4_000_000, 500_000
 #: Code of contexts that nothing follows.
 _EMPTY = 255
-_MADE = "shard int, size bigint, file string"
+_MERGED = "shard int, size bigint, ones bigint, twos bigint, ends array<bigint>, at array<bigint>, part array<double>, file string"
+_CODED = "doc_ids array<bigint>, training array<boolean>, sizes array<int>, local binary, hashes binary"
 END = np.uint64(0xE5D0F7E7D)
 _ONE, _64 = np.uint64(1), np.uint64(64)
 
@@ -200,21 +204,16 @@ class EliasFano:
         out[hit] = a[hit]
         return out
 
-    def all(self) -> np.ndarray:
-        """Every value, decoded in order."""
-        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[:self.n]
-        i = np.arange(self.n)
-        return ((ones - i).astype(np.uint64) << np.uint64(self.bits)) | self.lows(i)
-
 
 # --- the trie --------------------------------------------------------------------------------------
 
 @dataclass
 class Level:
-    """Shards of a level: files, ranks at which they start, contexts of each."""
+    """Shards of a level: files, ranks at which they start, their first context and the first word of it."""
     files: list[str]
     base: list[int]
-    per: int
+    first: list[int]
+    word: list[int]
     size: int
     _open: dict = field(default_factory=dict, repr=False)
 
@@ -227,59 +226,39 @@ class Level:
             self._open[s] = (a, EliasFano(a, "p"), EliasFano(a, "i")) if "pb" in a else (a, None, None)
         return self._open[s]
 
-    def live(self, context: np.ndarray) -> np.ndarray:
-        """The contexts, with -1 for those that nothing follows; they cost no back-off."""
-        out = np.full(len(context), -1, np.int64)
-        shard = np.where(context >= 0, context // self.per, len(self.files)).astype(np.int16 if len(self.files) < 2 ** 15 else np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(len(self.files) + 1))
+    def _parts(self, keys: np.ndarray, starts: list[int]) -> Iterator[tuple[int, slice]]:
+        """The shards of ascending keys."""
+        cuts = np.append(np.searchsorted(keys, np.array(starts, np.int64)), len(keys))
         for s in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            at = order[cuts[s]:cuts[s + 1]]
             if self.files[s]:
-                some = at[self.shard(int(s))[0]["bq"][context[at] - s * self.per] != _EMPTY]
-                out[some] = context[some]
-        return out
+                yield int(s), slice(cuts[s], cuts[s + 1])
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (-1 if absent) and log10 probability of n-grams; absent ones get the context's back-off weight.
+    def weights(self, context: np.ndarray) -> np.ndarray:
+        """Codes of the back-off weights of ascending contexts."""
+        out = np.full(len(context), _EMPTY, np.uint8)
+        for s, part in self._parts(context, self.first):
+            out[part] = self.shard(s)[0]["b"][context[part] - self.first[s]]
+        return out
 
-        Contexts ascend.
-        """
-        rank, value = np.full(len(context), -1, np.int64), np.zeros(len(context), np.float32)
-        cuts = np.searchsorted(context, np.arange(len(self.files) + 1, dtype=np.int64) * self.per)
-        for s in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            if not self.files[s]:
-                continue
-            part = slice(cuts[s], cuts[s + 1])
-            a, pointers, ids = self.shard(int(s))
-            local, back = np.unique(context[part] - s * self.per, return_inverse=True)
+    def find(self, context: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (-1 if absent) and code of the probability of n-grams that ascend; absent ones have code 0."""
+        rank, code = np.full(len(context), -1, np.int64), np.zeros(len(context), np.uint8)
+        for s, part in self._parts(context * words + word, [c * words + w for c, w in zip(self.first, self.word)]):
+            a, pointers, ids = self.shard(s)
+            of = context[part] - self.first[s]
+            new = np.concatenate([[True], of[1:] != of[:-1]])
+            local, back = of[new], np.cumsum(new) - 1
             first, last = pointers[local].astype(np.int64), pointers[local + 1].astype(np.int64)
             offset, full = np.zeros(len(local), np.uint64), first < last
             some = full & (first > 0)
             offset[some] = ids[first[some] - 1] + _ONE
-            value[part] = a["bbook"][a["bq"][local]][back]
             asked = np.flatnonzero(full[back])
             of = back[asked]
             at = ids.successor(word[part][asked].astype(np.uint64) + offset[of], first[of], last[of])
             hit = at >= 0
-            place = asked[hit] + cuts[s]
-            rank[place], value[place] = at[hit] + self.base[s], a["book"][a["q"][at[hit]]]
-        return rank, value
-
-    def word_of(self, rank: np.ndarray) -> np.ndarray:
-        """The last word of n-grams, by rank in ascending order."""
-        out = np.zeros(len(rank), np.int64)
-        cuts = np.searchsorted(rank, np.array([*self.base, self.size]))
-        for s in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            part = slice(cuts[s], cuts[s + 1])
-            _, pointers, ids = self.shard(int(s))
-            at = rank[part] - self.base[s]
-            starts = pointers.all().astype(np.int64)
-            first = starts[np.searchsorted(starts, at, "right") - 1]
-            offset = np.zeros(len(at), np.uint64)
-            offset[first > 0] = ids[first[first > 0] - 1] + _ONE
-            out[part] = (ids[at] - offset).astype(np.int64)
-        return out
+            place = asked[hit] + part.start
+            rank[place], code[place] = at[hit] + self.base[s], a["q"][at[hit]]
+        return rank, code
 
 
 @dataclass
@@ -290,15 +269,22 @@ class Model:
     levels: list[Level]
 
     @property
-    def kind(self) -> str:
-        """How word ids are stored in encoded texts."""
-        return "<i4" if self.words < 2 ** 31 else "<i8"
+    def lowest(self) -> float:
+        """No probability or weight is lower (log10): the least share of one of all tokens after a discount of 0.9."""
+        return math.log10(0.05 / (self.tokens + 1))
+
+    def code(self, log: np.ndarray) -> np.ndarray:
+        """The byte nearest to a log10 value; ``_EMPTY`` stands for something else."""
+        return np.rint(np.clip(log / self.lowest, 0, 1) * (_EMPTY - 1)).astype(np.uint8)
+
+    def value(self, code: np.ndarray) -> np.ndarray:
+        return code * (self.lowest / (_EMPTY - 1))
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word ids (-1: unknown) and training counts of ascending hashes."""
         top = self.levels[0]
         out, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        cuts = np.searchsorted(hashes, np.array([s * top.per for s in range(1, len(top.files))], np.uint64))
+        cuts = np.searchsorted(hashes, np.array(top.first[1:], np.uint64))
         cuts = np.array([0, *cuts, len(hashes)])
         for s in np.flatnonzero(cuts[1:] > cuts[:-1]):
             if not top.files[s]:
@@ -310,16 +296,6 @@ class Model:
             out[part], count[part] = np.where(hit, at + top.base[s], -1), np.where(hit, a["n"][at], 0)
         return out, count
 
-    def word_logs(self, word: np.ndarray) -> np.ndarray:
-        """log10 probabilities of words alone, by id (-1: unknown)."""
-        top, counts = self.levels[0], np.zeros(len(word), np.int64)
-        shard = np.searchsorted(top.base, word, "right") - 1
-        for s in np.unique(shard[word >= 0]):
-            at = np.flatnonzero((shard == s) & (word >= 0))
-            # of shards that start alike the last has the words
-            counts[at] = top.shard(int(s))[0]["n"][word[at] - top.base[s]]
-        return self.base_log(counts)
-
     def base_log(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.tokens + self.words + 1))
 
@@ -333,23 +309,106 @@ def tokens(text: str | None, hashes: shingles.WordHashes) -> np.ndarray:
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Runs of rows with about CHUNK tokens: the rows, their tokens, the number of each row's."""
-    hashes = shingles.WordHashes()
+def _ranked(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, all below ``bound``, and the place of each key among them."""
+    bits = max(len(keys) - 1, 1).bit_length()
+    if not len(keys):
+        return keys, keys
+    if bits + bound.bit_length() > 63:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort((keys << bits) | np.arange(len(keys)))  # sorting is faster than ordering
+    sorted_, at = both >> bits, both & ((1 << bits) - 1)
+    new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
+    place = np.empty(len(keys), np.int64)
+    place[at] = np.cumsum(new) - 1
+    return sorted_[new], place
+
+
+def _code_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (doc_id, training, text) to runs of texts: places of their tokens among the run's distinct hashes."""
+    hashes, press = shingles.WordHashes(), zstandard.ZstdCompressor(level=1)
+    ids, marks, held, size = [], [], [], 0
+
+    def made() -> pa.RecordBatch:
+        distinct, local = np.unique(np.concatenate(held), return_inverse=True)
+        row = ids, marks, [len(x) for x in held], press.compress(local.astype("<i4").tobytes()), distinct.astype("<u8").tobytes()
+        kinds = pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], ["doc_ids", "training", "sizes", "local", "hashes"])
+
     for batch in batches:
-        held, size, start = [], 0, 0
         for i in range(len(batch)):
-            held.append(tokens(batch.column(column)[i].as_py(), hashes))
+            ids.append(batch.column(0)[i].as_py())
+            marks.append(batch.column(1)[i].as_py())
+            held.append(tokens(batch.column(2)[i].as_py(), hashes))
             size += len(held[-1])
-            if size >= CHUNK or i + 1 == len(batch):
-                yield batch.slice(start, i + 1 - start), np.concatenate(held), np.array([len(h) for h in held])
-                held, size, start = [], 0, i + 1
+            if size >= CHUNK:
+                yield made()
+                ids, marks, held, size = [], [], [], 0
+    if held:
+        yield made()
+
+
+def encode(docs: DataFrame, training) -> DataFrame:
+    """Runs of texts, with words as places in a list of hashes."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), training.alias("training"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_code_texts, _CODED)
+
+
+class _Run:
+    """A run of texts: local ids of tokens, how many are before each in its text, and the run's distinct hashes."""
+
+    def __init__(self, row: dict, only_training: bool = False):
+        sizes, local = np.array(row["sizes"]), np.frombuffer(zstandard.ZstdDecompressor().decompress(row["local"]), "<i4").astype(np.int64)
+        if only_training:
+            marks = np.array(row["training"], bool)
+            local, sizes = local[np.repeat(marks, sizes)], sizes[marks]
+        self.sizes, self.local, self.hashes = sizes, local, np.frombuffer(row["hashes"], "<u8")
+        self.starts = np.cumsum(sizes) - sizes
+        self.before = np.arange(len(local)) - np.repeat(self.starts, sizes)
+
+    def grams(self, place: np.ndarray, distinct: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For n-grams from the ``place`` of each token's (n - 1)-gram: distinct contexts, their words, the tokens they end at, places of those."""
+        at = np.flatnonzero(self.before >= n - 1)
+        u = len(self.hashes)
+        keys, back = _ranked(place[at - 1] * u + self.local[at], distinct * u)
+        return keys // u, keys % u, at, back
+
+
+def _runs(batches: Iterator[pa.RecordBatch], only_training: bool = False) -> Iterator[tuple[dict, _Run]]:
+    for batch in batches:
+        for i in range(len(batch)):
+            row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+            yield row, _Run(row, only_training)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, t, _ in _chunks(batches, 0):
-        h, n = np.unique(t, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+    for _, run in _runs(batches, True):
+        n = np.bincount(run.local, minlength=len(run.hashes))
+        some = n > 0
+        yield pa.RecordBatch.from_arrays([pa.array(run.hashes[some].view(np.int64)), pa.array(n[some])], ["h", "n"])
+
+
+def _shares(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where to start the next level's shards, so that each has about ``SHARD`` of the mass: context and part of its words."""
+    whole = mass >= SHARD
+    at, part = [np.zeros(1, np.int64)], [np.zeros(1)]
+    steps = np.cumsum(np.where(whole, 0, mass)) // SHARD
+    at.append(np.flatnonzero(steps[1:] > steps[:-1]) + 1)
+    part.append(np.zeros(len(at[-1])))
+    for i in np.flatnonzero(whole):
+        n = -(-int(mass[i]) // SHARD)
+        at.append(np.concatenate([np.full(n, i), [i + 1]]))
+        part.append(np.append(np.arange(n) / n, 0.0))
+    at, part = np.concatenate(at), np.concatenate(part)
+    inside = at < len(mass)
+    return at[inside], part[inside]
+
+
+def _row(s: int, size: int, ones: int, twos: int, ends: list[int], mass: np.ndarray, path: str) -> pa.Table:
+    at, part = _shares(mass)
+    row = [s], [size], [ones], [twos], [ends], [at], [part], [path]
+    kinds = pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.string()
+    return pa.table([pa.array(x, t) for x, t in zip(row, kinds)], names=["shard", "size", "ones", "twos", "ends", "at", "part", "file"])
 
 
 def _word_shard(root: str):
@@ -357,212 +416,218 @@ def _word_shard(root: str):
         s = table.column("shard")[0].as_py()
         h = table.column("h").to_numpy().view(np.uint64)
         order = np.argsort(h)
+        h, n = h[order], table.column("n").to_numpy()[order].astype(np.int64)
         path = f"{root}/1-{s}.trie"
-        save(path, pack({"h": h[order], "n": table.column("n").to_numpy()[order].astype(np.int64)}))
-        return pa.table({"shard": pa.array([s], pa.int32()), "size": pa.array([len(h)], pa.int64()), "file": [path]})
+        save(path, pack({"h": h, "n": n}))
+        return _row(s, len(h), 0, 0, [], np.where(h == END, 0, n), path)
 
     return run
 
 
-def _level_of(rows: list, shards: int, per: int) -> Level:
+def _level_of(rows: list, first: list[int], word: list[int]) -> Level:
     found = {r["shard"]: r for r in rows}
     files, base, total = [], [], 0
-    for s in range(shards):
+    for s in range(len(first)):
         files.append(found[s]["file"] if s in found else "")
         base.append(total)
         total += found[s]["size"] if s in found else 0
-    return Level(files, base, per, total)
-
+    return Level(files, base, first, word, total)
 
-def _encode(model: Model):
-    """mapInArrow function: (doc_id, training, text) to word ids as bytes, with what the words alone tell."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, t, sizes in _chunks(batches, 2):
-            h, back = np.unique(t, return_inverse=True)
-            ids, count = model.ids(h)
-            starts = np.cumsum(sizes) - sizes
-            known = np.add.reduceat((count > 0).astype(np.int64)[back], starts)
-            base = np.add.reduceat(model.base_log(count)[back], starts)
-            data = ids.astype(model.kind)[back]
-            ends = pa.array(np.concatenate([[0], np.cumsum(sizes) * data.itemsize]).astype(np.int32))
-            packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, ends.buffers()[1], pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), packed, pa.array(known), pa.array(base)],
-                                             ["doc_id", "training", "ids", "n_known", "base_score"])
-
-    return run
-
-
-def encode(docs: DataFrame, model: Model, training) -> DataFrame:
-    """doc_id, training, ids, n_known, base_score: texts as word ids, -1 for unknown words."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), training.alias("training"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encode(model), "doc_id bigint, training boolean, ids binary, n_known bigint, base_score double")
 
-
-def _coded(batches: Iterator[pa.RecordBatch], column: int, kind: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of rows with about CHUNK tokens: the rows, word ids, tokens before each in its text, the number of each row's."""
-    for batch in batches:
-        held, size, start = [], 0, 0
-        for i in range(len(batch)):
-            held.append(np.frombuffer(batch.column(column)[i].as_py(), kind))
-            size += len(held[-1])
-            if size >= CHUNK or i + 1 == len(batch):
-                sizes = np.array([len(x) for x in held])
-                before = np.arange(size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                yield batch.slice(start, i + 1 - start), np.concatenate(held).astype(np.int64), before, sizes
-                held, size, start = [], 0, i + 1
-
-
-def _look_up(level: Level, words: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``Level.find`` for contexts in any order, each n-gram looked up once; -1 as context or word is absent."""
-    rank, value = np.full(len(word), -1, np.int64), np.zeros(len(word), np.float32)
-    context = level.live(context)
-    ok = np.flatnonzero((context >= 0) & (word >= 0))
-    key, back = np.unique(context[ok] * words + word[ok], return_inverse=True)
-    r, v = level.find(key // words, key % words)
-    rank[ok], value[ok] = r[back], v[back]
-    odd = np.flatnonzero((context >= 0) & (word < 0))  # an unknown word still costs the context's back-off
-    if len(odd):
-        c, back = np.unique(context[odd], return_inverse=True)
-        value[odd] = level.find(c, np.full(len(c), words, np.int64))[1][back]
-    return rank, value
-
-
-def _send(model: Model, n: int, shards: int, per: int):
-    """mapInArrow function: texts to the packed counts of their n-grams, by shard of the context."""
+def _send(model: Model, n: int, starts: list[tuple[int, int]]):
+    """mapInArrow function: runs to the packed counts of their n-grams, by shard, with the codes of their last n - 1 words."""
+    first = [c for c, _ in starts]
+    keys = np.array([c * model.words + w for c, w in starts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for _, ids, before, _ in _coded(batches, 0, model.kind):
-            context = np.where(before > 0, np.roll(ids, 1), -1)
-            for m in range(2, n):
-                rank, _ = _look_up(model.levels[m - 1], model.words, context, ids)
-                context = np.where(before > m - 1, np.roll(rank, 1), -1)
-            ok = context >= 0
-            key, count = np.unique(context[ok] * model.words + ids[ok], return_counts=True)
-            cuts = np.searchsorted(key, np.arange(shards + 1) * per * model.words)
+        for _, r in _runs(batches, True):
+            ids, _ = model.ids(r.hashes)
+            place, distinct, rank, code = r.local, len(ids), ids, np.zeros(len(ids), np.uint8)
+            for m in range(2, n + 1):
+                ctx, word, at, back = r.grams(place, distinct, m)
+                if m < n:
+                    rank, code = model.levels[m - 1].find(rank[ctx], ids[word], model.words)
+                    place, distinct = np.zeros(len(r.local), np.int64), len(ctx)
+                    place[at] = back
+            count = np.bincount(back, minlength=len(ctx))
+            lower = np.zeros(len(ctx), np.uint8)
+            if n > 2:
+                lower[back] = code[place[at]]
+            key = rank[ctx] * model.words + ids[word]
+            cuts = np.append(np.searchsorted(key, keys), len(key))
             out_s, out_b = [], []
             for s in np.flatnonzero(cuts[1:] > cuts[:-1]):
-                k, c = key[cuts[s]:cuts[s + 1]], count[cuts[s]:cuts[s + 1]]
-                ctx = (k // model.words - s * per).astype(np.uint32)
-                data = np.concatenate([np.diff(ctx, prepend=np.uint32(0)), (k % model.words).astype(np.uint32), c.astype(np.uint32)])
+                part = slice(cuts[s], cuts[s + 1])
+                c = (rank[ctx[part]] - first[s]).astype(np.uint32)
+                data = np.concatenate([np.diff(c, prepend=np.uint32(0)), ids[word[part]].astype(np.uint32), count[part].astype(np.uint32)])
                 out_s.append(s)
-                out_b.append(press.compress(data.tobytes()))
+                out_b.append(press.compress(data.tobytes() + lower[part].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(out_s, pa.int32()), pa.array(out_b, pa.binary())], ["shard", "data"])
 
     return run
 
 
-def _quantised(x: np.ndarray, name: str) -> dict[str, np.ndarray]:
-    """One byte for each value, and a codebook of 255 values at even quantiles."""
-    kinds = np.unique(x)
-    book = kinds if len(kinds) <= _EMPTY else np.unique(np.quantile(x, (np.arange(_EMPTY) + 0.5) / _EMPTY))
-    q = np.searchsorted((book[1:] + book[:-1]) / 2, x).astype(np.uint8)
-    return {name + "q": q, name + "book": np.resize(book, 256).astype(np.float32) if len(book) else np.zeros(256, np.float32)}
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (context and word), counts and codes."""
+    data = zstandard.ZstdDecompressor().decompress(data)
+    size = len(data) // 13
+    ctx, word, count = np.frombuffer(data, np.uint32, 3 * size).reshape(3, -1)
+    return np.cumsum(ctx, dtype=np.uint64) << np.uint64(32) | word, count, np.frombuffer(data, np.uint8, size, 12 * size)
 
 
-def _level_shard(model: Model, n: int, per: int, root: str):
-    """applyInArrow function: a shard's packed counts to its file."""
+def _merge_shard(n: int, root: str):
+    """applyInArrow function: a shard's packed counts to one sorted table of them, and what the whole level must know of it."""
 
     def run(table: pa.Table) -> pa.Table:
-        s, keys, counts = table.column("shard")[0].as_py(), [], []
-        open_ = zstandard.ZstdDecompressor()
-        for b in table.column("data"):
-            ctx, word, c = np.frombuffer(open_.decompress(b.as_py()), np.uint32).reshape(3, -1)
-            keys.append(np.cumsum(ctx, dtype=np.uint64) << np.uint64(32) | word.astype(np.uint64))
-            counts.append(c)
-        key, c = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-        del keys, counts
-        order = np.argsort(key, kind="stable")
-        key, c = key[order], c[order]
+        s = table.column("shard")[0].as_py()
+        parts = [_unpacked(b.as_py()) for b in table.column("data")]
+        key, c, q = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = np.argsort(key, kind="stable")  # merges sorted parts
+        key, c, q = key[order], c[order], q[order]
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, c = key[new], np.add.reduceat(c, new)
-        ctx = (key >> np.uint64(32)).astype(np.int64)
-        total = np.bincount(ctx, c, per)
-        ones, twos = (c == 1).sum(), (c == 2).sum()
-        d = float(np.clip(ones / (ones + 2 * twos), 0.1, 0.9)) if ones else 0.5
-        kept = c >= LEAST[n]
-        ctx, word, c = ctx[kept], (key[kept] & np.uint64(0xFFFFFFFF)).astype(np.int64), c[kept]
-        share = (c - d) / total[ctx]
-        back = np.where(total > 0, 1 - np.bincount(ctx, share, per) if len(ctx) else 1.0, 1.0)
-        # the level below, for the context without its first word
+        key, c, q = key[new], np.add.reduceat(c.astype(np.int64), new), q[new]
+        path = f"{root}/{n}-{s}.counts"
+        ctx = (key >> np.uint64(32)).astype(np.uint32)
+        columns = np.diff(ctx, prepend=np.uint32(0)).tobytes(), key.astype(np.uint32).tobytes(), c.tobytes(), q.tobytes()
+        press = zstandard.ZstdCompressor(level=1)
+        save(path, pack({str(i): np.frombuffer(press.compress(x), np.uint8) for i, x in enumerate(columns)}))
+        head, tail = ctx == ctx[0], ctx == ctx[-1]
+        ends = [int(x) for x in (ctx[0], head.sum(), c[head].sum(), ctx[-1], tail.sum(), c[tail].sum())]
+        return _row(s, len(key), int((c == 1).sum()), int((c == 2).sum()), ends, c, path)
+
+    return run
+
+
+def _build_shard(model: Model, n: int, discount: float, files: list[str], contexts: list[int], sums: dict[int, dict[int, tuple[int, int]]], root: str):
+    """mapInArrow function: shard numbers to their files, from merged counts."""
+
+    def build(s: int) -> None:
+        packed, open_ = load(files[s]), zstandard.ZstdDecompressor()
+        ctx, word, c, q = (np.frombuffer(open_.decompress(packed[str(i)].tobytes()), t) for i, t in enumerate((np.uint32, np.uint32, np.int64, np.uint8)))
+        ctx, word, per = np.cumsum(ctx, dtype=np.int64), word.astype(np.int64), contexts[s]
+        total, kinds = np.bincount(ctx, c, per), np.bincount(ctx, minlength=per)
+        for i, (k, t) in sums.get(s, {}).items():
+            kinds[i], total[i] = k, t
+        span = kinds > 0
+        back = np.where(span, discount * kinds / np.maximum(total, 1), 1.0)
         if n == 2:
-            lower = model.word_logs(word)
+            top = model.levels[0]
+            shard, counts = np.searchsorted(top.base, word, "right") - 1, np.zeros(len(word), np.int64)
+            for t in np.unique(shard):  # of shards that start alike the last has the words
+                some = shard == t
+                counts[some] = top.shard(int(t))[0]["n"][word[some] - top.base[t]]
+            lower = model.base_log(counts)
         else:
-            ranks, inverse = np.unique(ctx + s * per, return_inverse=True)
-            lower = _log_p(model, n - 1, model.levels[n - 2].word_of(ranks)[inverse] if len(ranks) else ctx, word)
-        p = np.log10(share + back[ctx] * 10.0 ** lower)
+            lower = model.value(q)
+        p = np.log10((c - discount) / total[ctx] + back[ctx] * 10.0 ** lower)
         starts = np.searchsorted(ctx, np.arange(per + 1))
-        span = np.bincount(ctx, minlength=per) > 0
-        last = np.where(span, word[np.maximum(starts[1:] - 1, 0)] if len(word) else 0, 0)
-        offset = np.concatenate([[0], np.cumsum(np.where(span, last + 1, 0))[:-1]]).astype(np.int64)  # one more, so that contexts never touch
-        ids = word + offset[ctx]
-        path = f"{root}/{n}-{s}.trie"
-        weights = _quantised(np.log10(np.maximum(back[span], 1e-6)), "b")
-        codes = np.full(per, _EMPTY, np.uint8)
-        codes[span] = weights["bq"]
-        save(path, pack({**ef_encode(starts, "p"), **ef_encode(ids, "i"), **_quantised(p, ""), **weights, "bq": codes}))
-        return pa.table({"shard": pa.array([s], pa.int32()), "size": pa.array([len(word)], pa.int64()), "file": [path]})
-
-    return run
+        full = starts[1:] > starts[:-1]
+        last = np.where(full, word[np.maximum(starts[1:] - 1, 0)], 0)
+        offset = np.concatenate([[0], np.cumsum(np.where(full, last + 1, 0))[:-1]]).astype(np.int64)  # one more, so that contexts never touch
+        codes = np.where(span, model.code(np.log10(np.maximum(back, 1e-300))), _EMPTY).astype(np.uint8)
+        save(f"{root}/{n}-{s}.trie", pack({**ef_encode(starts, "p"), **ef_encode(word + offset[ctx], "i"), "q": model.code(p), "b": codes}))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                build(s)
+            yield batch
 
-def _log_p(model: Model, n: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """log10 of the order-n probability, n = 2: context is a word id."""
-    out = np.zeros(len(word))
-    rank, value = _look_up(model.levels[n - 1], model.words, context, word)
-    miss = rank < 0
-    out[~miss] = value[~miss]
-    out[miss] = value[miss] + model.word_logs(word[miss])
-    return out
+    return run
 
 
-def vocabulary(docs: DataFrame, scratch: Scratch) -> tuple[Model, str]:
-    """The first level, from every text of ``docs``, and where the files lie."""
+def vocabulary(coded: DataFrame, scratch: Scratch) -> tuple[Model, str, list[tuple[int, float]]]:
+    """The first level, from the training texts of ``coded``; where the files lie; where shards of the next level start."""
     root = scratch.root if ":" in scratch.root else f"file://{scratch.root}"
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    words = scratch.table(texts.mapInArrow(_count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
+    words = scratch.table(coded.mapInArrow(_count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
     n_words, n_tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = max(0, (n_words // SHARD).bit_length())
+    bits = max(0, (n_words * 16 // SHARD).bit_length())
     top = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
-    level = words.select("h", "n", top.alias("shard")).groupBy("shard").applyInArrow(_word_shard(root), _MADE).collect()  # a row for each shard
-    return Model(n_tokens, n_words, 1, [_level_of(level, 1 << bits, 1 << (64 - bits))]), root
+    rows = words.select("h", "n", top.alias("shard")).groupBy("shard").applyInArrow(_word_shard(root), _MERGED).collect()  # a row for each shard
+    level = _level_of(rows, [s << (64 - bits) for s in range(1 << bits)], [0] * (1 << bits))
+    return Model(n_tokens, n_words, 1, [level]), root, _starts(rows, level)
+
+
+def _starts(rows: list, level: Level) -> list[tuple[int, float]]:
+    return sorted({(level.base[r["shard"]] + i, p) for r in rows for i, p in zip(r["at"], r["part"])})
 
 
-def grow(model: Model, coded: DataFrame, root: str, order: int) -> Model:
-    """Add the levels up to ``order``, from encoded texts."""
-    shards = max(1, -(-model.tokens // SHARD))
+def grow(model: Model, coded: DataFrame, root: str, starts: list[tuple[int, float]], scratch: Scratch, order: int) -> Model:
+    """Add the levels up to ``order``; raises OverflowError where a level's keys do not fit."""
+    spark = coded.sparkSession
     for n in range(2, order + 1 if model.tokens else 0):
-        per = max(1, -(-model.levels[-1].size // shards))
-        sent = coded.select("ids").mapInArrow(_send(model, n, shards, per), "shard int, data binary")
-        built = sent.groupBy("shard").applyInArrow(_level_shard(model, n, per, root), _MADE).collect()
-        model.levels.append(_level_of(built, shards, per))
+        size = model.levels[-1].size
+        if (size + 1) * model.words >= 2 ** 63 or model.words >= 2 ** 32:
+            raise OverflowError(f"{size} contexts and {model.words} words are too many for keys of 64 bits")
+        at = [(c, int(p * model.words)) for c, p in starts]
+        sent = coded.select("training", "sizes", "local", "hashes").mapInArrow(_send(model, n, at), "shard int, data binary")
+        rows = sent.groupBy("shard").applyInArrow(_merge_shard(n, root), _MERGED).collect()
+        rows = [r.asDict() for r in sorted(rows, key=lambda r: r["shard"])]  # without those that got nothing: the one before covers their keys
+        at = [at[r["shard"]] for r in rows]
+        first = [c for c, _ in at]
+        ones, twos = sum(r["ones"] for r in rows), sum(r["twos"] for r in rows)
+        discount = float(np.clip(ones / (ones + 2 * twos), 0.1, 0.9)) if ones else 0.5
+        # contexts in several shards, the only ones that a shard can't sum alone
+        sums: dict[int, list] = {}
+        for s, r in enumerate(rows):
+            for c, local, k, t in {(first[s] + r["ends"][i], *r["ends"][i:i + 3]) for i in (0, 3)}:
+                sums.setdefault(c, []).append((s, local, k, t))
+        split: dict[int, dict[int, tuple[int, int]]] = {}
+        for parts in sums.values():
+            if len(parts) > 1:
+                for s, local, _, _ in parts:
+                    split.setdefault(s, {})[local] = sum(p[2] for p in parts), sum(p[3] for p in parts)
+        ends = [first[s + 1] + (at[s + 1][1] > 0) for s in range(len(at) - 1)] + [size]
+        files = [r["file"] for r in rows]
+        build = _build_shard(model, n, discount, files, [max(e - c, 1) for e, c in zip(ends, first)], split, root)
+        shards = spark.createDataFrame([(s,) for s in range(len(rows))], "shard int").repartition(max(len(rows), 1))
+        shards.mapInArrow(build, "shard int").write.format("noop").mode("overwrite").save()
+        for s, r in enumerate(rows):
+            r.update(shard=s, file=f"{root}/{n}-{s}.trie")
+        level = _level_of(rows, first, [w for _, w in at])
+        for f in files:
+            scratch.drop(f)
+        starts = _starts(rows, level)
+        model.levels.append(level)
         model.order = n
     return model
 
 
-def score_texts(model: Model, ids: np.ndarray, before: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The log10 probability of each text."""
-    total = model.word_logs(ids)
-    context = np.where(before > 0, np.roll(ids, 1), -1)
+def score_run(model: Model, run: _Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The log10 probability of each text of a run, its known tokens and its base score."""
+    ids, count = model.ids(run.hashes)
+    plain = model.base_log(count)
+    total, place, distinct, rank = plain[run.local], run.local, len(ids), ids
     for n in range(2, model.order + 1):
-        rank, value = _look_up(model.levels[n - 1], model.words, context, ids)
-        total = np.where(rank >= 0, value, total + value)
-        context = np.where(before > n - 1, np.roll(rank, 1), -1)
-    return np.add.reduceat(total, np.cumsum(sizes) - sizes)
+        level = model.levels[n - 1]
+        ctx, word, at, back = run.grams(place, distinct, n)
+        weight = np.zeros(len(rank))  # of contexts without successors, and unknown ones: 1
+        known = np.flatnonzero(rank >= 0)
+        code = level.weights(rank[known])
+        weight[known] = np.where(code == _EMPTY, 0.0, model.value(code))
+        found, code = np.full(len(ctx), -1, np.int64), np.zeros(len(ctx), np.uint8)
+        ok = np.flatnonzero((rank[ctx] >= 0) & (ids[word] >= 0))
+        found[ok], code[ok] = level.find(rank[ctx[ok]], ids[word[ok]], model.words)
+        total[at] = np.where(found >= 0, model.value(code), weight[ctx])[back] + np.where(found >= 0, 0.0, 1.0)[back] * total[at]
+        place, distinct, rank = np.zeros(len(run.local), np.int64), len(ctx), found
+        place[at] = back
+    return tuple(np.add.reduceat(x, run.starts) for x in (total, (count > 0).astype(np.int64)[run.local], plain[run.local]))
 
 
 def score_coded(coded: DataFrame, model: Model) -> DataFrame:
     """doc_id, training, n_tokens, n_known, train_tokens, base_score, score of encoded texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, ids, before, sizes in _coded(batches, 2, model.kind):
+        for row, r in _runs(batches):
+            total, known, base = score_run(model, r)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(sizes), rows.column(3), pa.array([model.tokens] * len(rows), pa.int64()),
-                 rows.column(4), pa.array(score_texts(model, ids, before, sizes))],
+                [pa.array(row["doc_ids"], pa.int64()), pa.array(row["training"], pa.bool_()), pa.array(r.sizes.astype(np.int64)), pa.array(known),
+                 pa.array([model.tokens] * len(known), pa.int64()), pa.array(base), pa.array(total)],
                 ["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return coded.select("doc_id", "training", "ids", "n_known", "base_score").mapInArrow(
+    return coded.mapInArrow(
         run, "doc_id bigint, training boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
@@ -573,8 +638,9 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     words are unknown.
     """
     scratch = Scratch(docs.sparkSession, "lm")
-    model, root = vocabulary(docs, scratch)
-    return grow(model, scratch.table(encode(docs.select(F.lit(None).alias("doc_id"), "text"), model, F.lit(True))), root, order)
+    coded = scratch.table(encode(docs.select(F.lit(None).alias("doc_id"), "text"), F.lit(True)))
+    model, root, starts = vocabulary(coded, scratch)
+    return grow(model, coded, root, starts, scratch, order)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -583,7 +649,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have one token, the end.  Repeated rows score alike;
     other columns are ignored; an empty table gives an empty table.
     """
-    return score_coded(encode(docs, model, F.lit(False)), model).drop("training")
+    return score_coded(encode(docs, F.lit(False)), model).drop("training")
 
 
 def train_and_score(docs: DataFrame, training, order: int = ORDER) -> DataFrame:
@@ -592,6 +658,6 @@ def train_and_score(docs: DataFrame, training, order: int = ORDER) -> DataFrame:
     The columns of ``score``, and ``training``.
     """
     scratch = Scratch(docs.sparkSession, "lm")
-    model, root = vocabulary(docs.where(training), scratch)
-    coded = scratch.table(encode(docs, model, F.coalesce(training, F.lit(False))))
-    return score_coded(coded, grow(model, coded.where("training"), root, order))
+    coded = scratch.table(encode(docs, F.coalesce(training, F.lit(False))))
+    model, root, starts = vocabulary(coded, scratch)
+    return score_coded(coded, grow(model, coded, root, starts, scratch, order))

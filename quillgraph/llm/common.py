@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,11 @@ class Scratch:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
+    def free(self) -> None:
+        """Let Spark remove the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def observation_columns(df: DataFrame) -> list[Column]:
     """Row count and an order-free checksum of a table of edges."""

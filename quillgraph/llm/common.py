@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
@@ -11,19 +11,23 @@ from pyspark.sql import functions as F
 
 #: What separates words and is stripped from lines: blank and TAB to CR.
 BLANKS = r"\x20\x09-\x0D"
+#: Whether Spark removes a query's shuffle files when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class Scratch:
     """Tables written to the folder that the cluster shares.
 
-    The folder is ``spark.checkpoint.dir``; only a session without one (tests)
-    gets a local temporary folder.  A table cuts the lineage: a lost executor
+    The folder is ``spark.checkpoint.dir``; a session without one gets a local
+    temporary folder if it is local itself (tests), else an error.  A table cuts the lineage: a lost executor
     costs the tasks that ran on it, not the steps before the table.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not base:
             base = tempfile.mkdtemp(prefix="scratch-")
         self.spark = spark
@@ -35,10 +39,15 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(df, observation))
 
     def path(self, df: DataFrame, observation: Observation | None = None) -> str:
-        """Write ``df`` and return where it lies."""
+        """Write ``df`` and return where it lies; the shuffle files behind it are then of no more use and go."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}"
-        (df.observe(observation, *observation_columns(df)) if observation else df).write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            (df.observe(observation, *observation_columns(df)) if observation else df).write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return path
 
     def drop(self, path: str) -> None:
@@ -47,11 +56,6 @@ class Scratch:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
-    def free(self) -> None:
-        """Let Spark remove the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
 
 def observation_columns(df: DataFrame) -> list[Column]:
     """Row count and an order-free checksum of a table of edges."""

@@ -40,7 +40,7 @@ from .common import Scratch
 
 ORDER = 3
 #: Tokens for each shard of a level; tokens that a task handles at once.
-SHARD, CHUNK = 4_000_000, 500_000
+SHARD, CHUNK = 2_000_000, 500_000
 #: Code of contexts that nothing follows.
 _EMPTY = 255
 _MERGED = "shard int, size bigint, ones bigint, twos bigint, ends array<bigint>, at array<bigint>, part array<double>, file string"
@@ -456,14 +456,15 @@ def _send(model: Model, n: int, starts: list[tuple[int, int]]):
                 lower[back] = code[place[at]]
             key = rank[ctx] * model.words + ids[word]
             cuts = np.append(np.searchsorted(key, keys), len(key))
-            out_s, out_b = [], []
+            out_s, out_n, out_b = [], [], []
             for s in np.flatnonzero(cuts[1:] > cuts[:-1]):
                 part = slice(cuts[s], cuts[s + 1])
                 c = (rank[ctx[part]] - first[s]).astype(np.uint32)
                 data = np.concatenate([np.diff(c, prepend=np.uint32(0)), ids[word[part]].astype(np.uint32), count[part].astype(np.uint32)])
                 out_s.append(s)
+                out_n.append(len(c))
                 out_b.append(press.compress(data.tobytes() + lower[part].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(out_s, pa.int32()), pa.array(out_b, pa.binary())], ["shard", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_s, pa.int32()), pa.array(out_n, pa.int64()), pa.array(out_b, pa.binary())], ["shard", "size", "data"])
 
     return run
 
@@ -481,13 +482,17 @@ def _merge_shard(n: int, root: str):
 
     def run(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
-        parts = [_unpacked(b.as_py()) for b in table.column("data")]
-        key, c, q = (np.concatenate(x) for x in zip(*parts))
-        del parts
+        column, size = table.column("data"), table.column("size").to_numpy()
+        ends = np.cumsum(size)
+        key, c, q = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.uint32), np.empty(ends[-1], np.uint8)
+        for i, end in enumerate(ends):
+            part = slice(end - size[i], end)
+            key[part], c[part], q[part] = _unpacked(column[i].as_py())
         order = np.argsort(key, kind="stable")  # merges sorted parts
         key, c, q = key[order], c[order], q[order]
+        del order
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, c, q = key[new], np.add.reduceat(c.astype(np.int64), new), q[new]
+        key, c, q = key[new], np.add.reduceat(c, new, dtype=np.int64), q[new]
         path = f"{root}/{n}-{s}.counts"
         ctx = (key >> np.uint64(32)).astype(np.uint32)
         columns = np.diff(ctx, prepend=np.uint32(0)).tobytes(), key.astype(np.uint32).tobytes(), c.tobytes(), q.tobytes()
@@ -543,7 +548,7 @@ def vocabulary(coded: DataFrame, scratch: Scratch) -> tuple[Model, str, list[tup
     root = scratch.root if ":" in scratch.root else f"file://{scratch.root}"
     words = scratch.table(coded.mapInArrow(_count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
     n_words, n_tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = max(0, (n_words * 16 // SHARD).bit_length())
+    bits = max(0, (n_words * 8 // SHARD).bit_length())
     top = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
     rows = words.select("h", "n", top.alias("shard")).groupBy("shard").applyInArrow(_word_shard(root), _MERGED).collect()  # a row for each shard
     level = _level_of(rows, [s << (64 - bits) for s in range(1 << bits)], [0] * (1 << bits))
@@ -562,7 +567,7 @@ def grow(model: Model, coded: DataFrame, root: str, starts: list[tuple[int, floa
         if (size + 1) * model.words >= 2 ** 63 or model.words >= 2 ** 32:
             raise OverflowError(f"{size} contexts and {model.words} words are too many for keys of 64 bits")
         at = [(c, int(p * model.words)) for c, p in starts]
-        sent = coded.select("training", "sizes", "local", "hashes").mapInArrow(_send(model, n, at), "shard int, data binary")
+        sent = coded.select("training", "sizes", "local", "hashes").mapInArrow(_send(model, n, at), "shard int, size bigint, data binary")
         rows = sent.groupBy("shard").applyInArrow(_merge_shard(n, root), _MERGED).collect()
         rows = [r.asDict() for r in sorted(rows, key=lambda r: r["shard"])]  # without those that got nothing: the one before covers their keys
         at = [at[r["shard"]] for r in rows]

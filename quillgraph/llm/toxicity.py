@@ -1,12 +1,15 @@
 """Toxicity (9): compression distance with zstandard dictionaries.
 
-One dictionary is trained, on ordinary windows.  There are two of raw content:
-both hold the ordinary dictionary's, so that a window of plain
-prose costs the same under either; the toxic one begins with the segments that
-toxic text has and ordinary text has not.  A window of a few words is compressed
-with each; the bytes that the toxic dictionary saves are its gain.  A text's
-features are its greatest gains; a logistic curve fitted on the labelled sample
-turns them into the score, calibrated so that 0.5 is the threshold.
+Two dictionaries of one size are trained, one on windows of toxic texts and one on
+windows of ordinary ones.  Windows are trained on without the words that many
+ordinary texts hold, which would crowd out the rest; for the ordinary side, the
+words of another half of the texts.  zstandard chooses the content; of that, what
+the other class's texts hold about as often is blanked, since it tells nothing.
+Both stand before the same plain content, trained on whole ordinary windows, so
+that common prose costs the same under either.  A window of a few words is
+compressed with each; the bytes that the toxic dictionary saves are its gain.  A
+text's features are its greatest gains; a logistic curve fitted on the labelled
+sample turns them into the score, calibrated so that 0.5 is the threshold.
 """
 
 from __future__ import annotations
@@ -26,8 +29,12 @@ from pyspark.sql import types as T
 
 #: Labelled rows of each class that training uses, and the characters they may have.
 ROWS, CHARS = 2000, 8_000_000
-WINDOW, DICTIONARY, SEGMENTS, SEGMENT, LEVEL = 8, 32_768, 4_096, 16, 3
-_STRIP = ".,;:!?()[]{}\"'|*#%&"
+WINDOW, PLAIN, DICTIONARY, SEGMENT, LEVEL = 8, 32_768, 8_192, 16, 3
+#: Ordinary texts that hold a word from which on it is left out; bytes of a piece, how many times as often the own class holds it, in one of how many texts.
+COMMON, PIECE, TELLING, SHARE = 3, 6, 30, 100
+#: How much an ordinary text weighs in the curve, a toxic one 1: most texts are ordinary.
+WEIGHT = 2.0
+_STRIP = b".,;:!?()[]{}\"'|*#%&$"
 
 
 @dataclass(frozen=True)
@@ -37,9 +44,13 @@ class Model:
     weights: tuple[float, ...]
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def _windows(text: str | None) -> list[bytes]:
     """Runs of ``WINDOW`` words, A-Z lower-cased."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    w = _words(text)
     return [b" " + b" ".join(w[i:i + WINDOW]) + b" " for i in range(0, len(w), WINDOW)]
 
 
@@ -55,18 +66,18 @@ class _Pair:
             self.sides.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p))
 
     def features(self, text: str | None) -> tuple[float, float, float, float]:
-        """The greatest gain of a window; as logarithms, the sum of gains beyond a byte, the number of gains of one, and of windows."""
+        """The greatest gain of a window; as logarithms, the sum of gains over three bytes, the number of lesser ones, and of windows, one at least."""
         a, b = (s.compress for s in self.sides)
         top, total, weak = 0, 0, 0
         windows = _windows(text)
         for w in windows:
             gain = len(a(w)) - len(b(w))
-            if gain > 1:
+            top = gain if gain > top else top
+            if gain > 3:
                 total += gain
-                top = gain if gain > top else top
-            elif gain == 1:
+            elif gain > 0:
                 weak += 1
-        return top, math.log1p(total), math.log1p(weak), math.log1p(len(windows))
+        return top, math.log1p(total), math.log1p(weak), math.log1p(max(len(windows), 1))
 
 
 def _novel(texts: list[str]) -> list[str]:
@@ -81,63 +92,74 @@ def _novel(texts: list[str]) -> list[str]:
     return kept
 
 
-def _segments(toxic: list[str], ordinary: list[str]) -> list[tuple[bytes, int]]:
-    """Beginnings of words that many toxic texts hold and hardly any ordinary one, with their number of toxic texts.
+def _common(texts: list[str]) -> set[bytes]:
+    """Words that ``COMMON`` texts hold."""
+    found = Counter(w for t in texts for w in {x.strip(_STRIP) for x in _words(t)})
+    return {w for w, n in found.items() if n >= COMMON}
 
-    The shortest beginnings that tell the classes apart, each made as long as
-    nine tenths of its texts allow.
-    """
-    toxic, ordinary = _novel(toxic), _novel(ordinary)
-
-    def spread(texts: list[str]) -> Counter:
-        found: Counter = Counter()
-        for t in texts:
-            words = {f" {w.strip(_STRIP)} " for w in t.lower().split()}
-            found.update({w[:n] for w in words for n in range(4, min(len(w), SEGMENT) + 1)})
-        return found
-    bad, good = spread(toxic), spread(ordinary)
-    n, m = max(len(toxic), 1), max(len(ordinary), 1)
-    least = max(3, n // 50)
-    telling = {w for w, c in bad.items() if c >= least and c / n >= 20 * (good[w] + 0.5) / m}
-    longer: dict[str, list[str]] = {}
-    for w in bad:
-        longer.setdefault(w[:-1], []).append(w)
-    found = []
-    for w in sorted(telling):
-        if any(w[:i] in telling for i in range(4, len(w))):
-            continue
-        c, long = bad[w], w
-        while (best := max(longer.get(long, ()), key=lambda x: (bad[x], x), default="")) and bad[best] >= 0.9 * c:
-            long = best
-        found.append((long.encode("utf-8", "surrogatepass"), c))
-    return sorted(found, key=lambda x: (x[1], x[0]))
-
-
-def _trained(samples: list[bytes], size: int) -> bytes:
+
+def _rest(texts: list[str], known: set[bytes]) -> list[bytes]:
+    """The texts' windows without known words."""
+    out = []
+    for t in texts:
+        w = _words(t)
+        for i in range(0, len(w), WINDOW):
+            left = [x for x in w[i:i + WINDOW] if x.strip(_STRIP) not in known]
+            if left:
+                out.append(b" " + b" ".join(left) + b" ")
+    return out
+
+
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
     """Content of a dictionary trained on ``samples``; the samples themselves if they are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples, k=64, d=6).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()[-size:]
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
 
+def _pieces(content: bytes) -> np.ndarray:
+    """A number for each run of ``PIECE`` bytes."""
+    x = np.frombuffer(content, np.uint8).astype(np.uint64)
+    h = np.zeros(max(len(x) - PIECE + 1, 0), np.uint64)
+    for i in range(PIECE):
+        h = (h << np.uint64(8)) | x[i:i + len(h)]
+    return h
+
+
+def _telling(content: bytes, own: list[str], other: list[str]) -> bytes:
+    """``content`` with blanks where no piece is ``TELLING`` times as frequent in texts of its own class."""
+    pieces, at = np.unique(_pieces(content), return_inverse=True)
+
+    def spread(texts: list[str]) -> np.ndarray:
+        return sum((np.isin(pieces, _pieces(b" " + b" ".join(_words(t)) + b" ")) for t in texts), np.zeros(len(pieces), int))
+    mine, theirs = spread(own), spread(other)
+    good = (mine >= max(2, len(own) / SHARE)) & (mine * max(len(other), 1) >= TELLING * (theirs + 0.1) * max(len(own), 1))
+    keep = np.zeros(len(content), bool)
+    for i in np.flatnonzero(good[at]):
+        keep[i:i + PIECE] = True
+    return np.where(keep, np.frombuffer(content, np.uint8), 0).astype(np.uint8).tobytes()
+
+
 def fit(rows: Iterable[tuple[str | None, int]]) -> Model:
     """Train on (text, label) rows."""
     rows = sorted({(t or "", int(y)) for t, y in rows})
-    toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
-    base = _trained([w for t in ordinary for w in _windows(t)], DICTIONARY)
-    found = _segments(toxic, ordinary)
-    # the ordinary side is padded, so that matches in the shared content lie equally far away under both
-    marks = b"".join(s for s, _ in found)[-SEGMENTS:]
-    pad = bytes(len(marks))
-    model = Model(pad + base, marks + base, (0.0,) * 5)
+    toxic, ordinary = [_novel([t for t, y in rows if bool(y) == side]) for side in (True, False)]
+    half, others = ordinary[0::2], ordinary[1::2]
+    plain = _trained([w for t in half for w in _windows(t)], PLAIN, 64)
+    sides = [_telling(_trained(_rest(texts, _common(known)), DICTIONARY, SEGMENT), own, other)
+             for texts, known, own, other in ((others, half, ordinary, toxic), (toxic, ordinary, toxic, ordinary))]
+    # of one length, so that matches in the plain content lie equally far away under both
+    size = max(map(len, sides))
+    model = Model(*[bytes(size - len(x)) + x + plain for x in sides], (0.0,) * 5)
     pair = _Pair(model)
     x = np.array([(*pair.features(t), 1.0) for t, _ in rows] or [(0.0, 0.0, 0.0, 0.0, 1.0)])
-    y = np.array([y for _, y in rows] or [0], float)
+    y = np.array([y > 0 for _, y in rows] or [0], float)
+    c = np.where(y > 0, 1.0, WEIGHT)
     w, size = np.zeros(5), np.array([0.1, 0.1, 0.1, 0.1, 0.01])
     for _ in range(50):  # Newton's method, with a small penalty so that separable classes have a finite fit
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(size), x.T @ (y - p) - size * w)
+        step = np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + np.diag(size), x.T @ (c * (y - p)) - size * w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -147,19 +169,22 @@ def fit(rows: Iterable[tuple[str | None, int]]) -> Model:
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHARS) -> list[tuple[str, int]]:
     """(text, toxic) of at most ``rows`` labelled documents and ``chars`` characters of each class, in order of a hash of the id.
 
-    A document with several labels counts as toxic if any says so; null labels
-    and texts are no examples.
+    A document with several labels counts as toxic if any says so; null labels and
+    texts, and texts longer than a hundredth of ``chars``, are no examples, which is
+    settled before rows are chosen.  Rows that share an id count each, equal ones once.
     """
+    longest = chars // 100
+    texts = docs.select(F.col("doc_id").alias("k"), F.col("text").cast("string").alias("text")).where(
+        F.col("k").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest)).select("k", "text", F.xxhash64("k", "text").alias("t"))
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("k")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    known = marks.join(texts.select("k", "t"), "k").groupBy("k", "t").agg(F.max("y").alias("y"))
     some = None
     for y in (False, True):
-        part = marks.where((F.col("y") > 0) == F.lit(y)).orderBy(F.xxhash64("k"), "k").limit(rows)
+        part = known.where((F.col("y") > 0) == F.lit(y)).orderBy(F.xxhash64("k"), "k", "t").limit(rows)
         some = part if some is None else some.unionByName(part)
-    texts = docs.select(F.col("doc_id").alias("k"), F.col("text").cast("string").alias("text")).where(
-        F.col("text").isNotNull() & (F.length("text") <= chars // 100))
-    texts = texts.join(F.broadcast(some), "k").select("text", F.xxhash64("k").alias("h"), "k", "y").orderBy("h", "k")
+    chosen = texts.join(F.broadcast(some), ["k", "t"]).groupBy("k", "t").agg(F.first("text").alias("text"), F.first("y").alias("y"))
     found, total = [], [0, 0]
-    for r in texts.limit(4 * rows).toLocalIterator():
+    for r in chosen.orderBy(F.xxhash64("k"), "k", "t").toLocalIterator():  # at most ``rows`` of each class
         y = int(r["y"] > 0)
         total[y] += len(r["text"])
         if total[y] <= chars:

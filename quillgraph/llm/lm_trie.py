@@ -550,7 +550,8 @@ def vocabulary(coded: DataFrame, scratch: Scratch) -> tuple[Model, str, list[tup
     n_words, n_tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = max(0, (n_words * 8 // SHARD).bit_length())
     top = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
-    rows = words.select("h", "n", top.alias("shard")).groupBy("shard").applyInArrow(_word_shard(root), _MERGED).collect()  # a row for each shard
+    made = words.select("h", "n", top.alias("shard")).groupBy("shard").applyInArrow(_word_shard(root), _MERGED)
+    rows = scratch.table(made).collect()  # a row for each shard
     level = _level_of(rows, [s << (64 - bits) for s in range(1 << bits)], [0] * (1 << bits))
     return Model(n_tokens, n_words, 1, [level]), root, _starts(rows, level)
 
@@ -568,7 +569,7 @@ def grow(model: Model, coded: DataFrame, root: str, starts: list[tuple[int, floa
             raise OverflowError(f"{size} contexts and {model.words} words are too many for keys of 64 bits")
         at = [(c, int(p * model.words)) for c, p in starts]
         sent = coded.select("training", "sizes", "local", "hashes").mapInArrow(_send(model, n, at), "shard int, size bigint, data binary")
-        rows = sent.groupBy("shard").applyInArrow(_merge_shard(n, root), _MERGED).collect()
+        rows = scratch.table(sent.groupBy("shard").applyInArrow(_merge_shard(n, root), _MERGED)).collect()
         rows = [r.asDict() for r in sorted(rows, key=lambda r: r["shard"])]  # without those that got nothing: the one before covers their keys
         at = [at[r["shard"]] for r in rows]
         first = [c for c, _ in at]

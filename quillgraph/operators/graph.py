@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EDGE_KINDS = ("APPLIES_TO_PROJECT", "DERIVED_FROM", "OBSERVED_IN_SESSION", "REQUIRES_SKILL", "SUPPORTS", "CONTRADICTS", "SUPERSEDES", "DUPLICATES", "SAME_TOPIC_AS")
+# The kinds of edges, in the order that generated graphs take them.
+EDGE_KINDS = ("DERIVED_FROM", "OBSERVED_IN_SESSION", "APPLIES_TO_PROJECT", "SUPPORTS", "CONTRADICTS", "SUPERSEDES", "DUPLICATES", "SAME_TOPIC_AS", "REQUIRES_SKILL")
 
 
 def eligible(scope: str, project: str | None) -> Column:
@@ -30,11 +31,15 @@ def lookup(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return by_id.unionByName(by_key).select("*", F.row_number().over(w).alias("n")).where("n = 1").drop("n", "rank")
 
 
+def filter_edges(edges: DataFrame, kinds: list[str] | None = None, least: float = 0.0) -> DataFrame:
+    """Edges of the kinds, all if None, with at least that confidence."""
+    kept = edges.where(F.col("confidence") >= least)
+    return kept.where(F.col("kind").isin(*kinds)) if kinds is not None else kept
+
+
 def adjacency(edges: DataFrame, node, direction: str = "both", kinds: list[str] | None = None, least: float = 0.0, limit: int = 500) -> DataFrame:
     """A page of a node's edges by id; ``truncated`` tells whether there are more."""
-    kept = edges.where(F.col("confidence") >= least)
-    if kinds is not None:
-        kept = kept.where(F.col("kind").isin(kinds))
+    kept = filter_edges(edges, kinds, least)
     out, into = kept.where(F.col("source_node_id") == node), kept.where(F.col("target_node_id") == node)
     both = {"outgoing": out, "incoming": into, "both": out.union(into).distinct()}[direction]
     first = both.orderBy("id").limit(limit + 1)
@@ -42,6 +47,25 @@ def adjacency(edges: DataFrame, node, direction: str = "both", kinds: list[str]
     return first.select("*", F.row_number().over(w).alias("n"), (F.count(F.lit(1)).over(Window.partitionBy()) > limit).alias("truncated")).where(F.col("n") <= limit).drop("n")
 
 
+def inspect(nodes: DataFrame, revisions: DataFrame, edges: DataFrame, node: str, limit: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A node, by id or source key, with its current revision; its incoming and its outgoing edges, a page of each."""
+    wanted = nodes.sparkSession.createDataFrame([(node,)], "ref string")
+    found = lookup(nodes, wanted).drop("ref")
+    r = revisions.select(F.col("id").alias("current_revision_id"), *[F.col(c).alias(f"revision_{c}") for c in revisions.columns if c not in ("id", "node_id")])
+    first = found.select("id").first()
+    at = first["id"] if first else None
+    return found.join(r, "current_revision_id", "left"), adjacency(edges, at, "incoming", limit=limit), adjacency(edges, at, "outgoing", limit=limit)
+
+
+def in_scope(nodes: DataFrame, node: str, scope: str, project: str | None) -> None:
+    """Raise unless the node is there and visible to the request."""
+    rows = nodes.where(F.col("id") == node).select(eligible(scope, project).alias("ok")).limit(1).collect()
+    if not rows:
+        raise LookupError(f"no node {node}")
+    if not rows[0]["ok"]:
+        raise PermissionError(f"node {node} is outside the request's scope")
+
+
 def snapshot_page(nodes: DataFrame, edges: DataFrame, node_limit: int, edge_limit: int) -> tuple[DataFrame, DataFrame]:
     """The first nodes by id, and the first edges with both ends among them."""
     page = nodes.orderBy("id").limit(max(1, min(50_000, node_limit)))
@@ -79,8 +103,7 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, root: str, depth: int, max
     """
     spark = nodes.sparkSession
     visible = nodes.where(allowed) if allowed is not None else nodes
-    kept = edges.where(F.col("confidence") >= least)
-    steps = both_ways(kept.where(F.col("kind").isin(kinds)) if kinds is not None else kept)
+    steps = both_ways(filter_edges(edges, kinds, least))
     found, used, order = {root: 0}, {}, [root]
     for level in range(1, max(0, min(6, depth)) + 1):
         front = spark.createDataFrame([(n, i) for i, n in enumerate(order)], "src string, pos int")

@@ -13,15 +13,32 @@ def _folded(df: DataFrame, key: str) -> DataFrame:
     return df.select("run", F.col("id").alias(key), body.alias(f"{key}_body"), text.claim_tokens(F.col("body")).alias(f"{key}_tokens")).select("*", F.size(f"{key}_tokens").alias(f"{key}_size"))
 
 
+def held(outer: DataFrame, inner: DataFrame, width: int = 16) -> DataFrame:
+    """(run, outer, inner): inner texts (``part``) that lie within outer ones (``text``) of the run.
+
+    An equi join on the first ``width`` characters of the inner text and the pieces
+    of that length of the outer; shorter inner texts meet pieces of their own length.
+    """
+    keys = inner.where("part <> ''").select("*", F.substring("part", 1, width).alias("piece")).withColumn("size", F.length("piece"))
+    sized = outer.join(keys.select("run", "size").distinct(), "run").where("length(text) >= size")
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("size") + 1), lambda i: F.substring("text", i, F.col("size"))))
+    met = sized.select("run", "outer", "text", F.explode(pieces).alias("piece")).join(keys, ["run", "piece"])
+    return met.where(F.contains("text", "part")).select("run", "outer", "inner").distinct()
+
+
 def match(claims: DataFrame, rows: DataFrame) -> DataFrame:
     """(run, row, claim, score) of pairs that score: both sides have run, id, body.
 
-    Pairs come from equi joins on the run and a shared token, or on the same
-    folded body; texts without such tokens can only match whole.
+    Pairs come from equi joins on the run and a shared token, and on pieces of
+    the shorter text where one text lies within the other.
     """
     c, r = _folded(claims, "claim"), _folded(rows, "row")
     pairs = c.select("run", "claim", F.explode("claim_tokens").alias("t")).join(r.select("run", "row", F.explode("row_tokens").alias("t")), ["run", "t"]).groupBy("run", "claim", "row").agg(F.count(F.lit(1)).alias("both"))
-    same = c.where("claim_size = 0").select("run", "claim", F.col("claim_body").alias("b")).join(r.select("run", "row", F.col("row_body").alias("b")), ["run", "b"]).select("run", "claim", "row", F.lit(0).cast("bigint").alias("both"))
+    inner = held(c.select("run", F.col("claim").alias("outer"), F.col("claim_body").alias("text")), r.select("run", F.col("row").alias("inner"), F.col("row_body").alias("part")))
+    heads = c.select("run", F.col("claim").alias("inner"), F.substring("claim_body", 1, 80).alias("part"))
+    head = held(r.select("run", F.col("row").alias("outer"), F.col("row_body").alias("text")), heads)
+    same = inner.select("run", F.col("outer").alias("claim"), F.col("inner").alias("row")).unionByName(head.select("run", F.col("inner").alias("claim"), F.col("outer").alias("row")))
+    same = same.distinct().join(pairs, ["run", "claim", "row"], "left_anti").withColumn("both", F.lit(0).cast("bigint"))
     every = pairs.unionByName(same).join(c.drop("claim_tokens"), ["run", "claim"]).join(r.drop("row_tokens"), ["run", "row"])
     score = text.body_match(F.col("claim_body"), F.col("row_body"), F.col("both"), (F.col("claim_size"), F.col("row_size")))
     return every.select("run", "row", "claim", score.cast("int").alias("score")).where("score > 0")

@@ -67,6 +67,28 @@ def late_filter(hits: DataFrame, keep, limit: int) -> DataFrame:
     return first.where(keep).orderBy("score", "id").limit(limit)
 
 
+UNIT_WEIGHTS = {"text": 6.0, "metadata": 1.0}
+
+
+def search_units(units: DataFrame, files: DataFrame, query: str, limit: int, keep=None) -> DataFrame:
+    """Units (id, path, text, metadata) that match a query best, with their file's columns.
+
+    Text weighs 6, metadata 1.  Units of files that were not read in full are no
+    candidates.  ``keep``, a condition on unit and file, is applied after more were
+    fetched than asked for.
+    """
+    whole = units.join(files.where("scan = 'full'"), "path")
+    hits = search(whole, query, max(limit, min(1000, 20 * limit)), UNIT_WEIGHTS).join(whole, "id")
+    return late_filter(hits, F.lit(True) if keep is None else keep, limit)
+
+
+def recent(rows: DataFrame, times: list, keys: list[str], limit: int, keep=None) -> DataFrame:
+    """The latest ``limit`` rows (0: all) that pass, by the first known of ``times``, then by ``keys``."""
+    kept = rows if keep is None else rows.where(keep)
+    ordered = kept.orderBy(F.desc_nulls_last(F.coalesce(*times)), *keys)
+    return ordered.limit(limit) if limit > 0 else ordered
+
+
 def seeds(scored: DataFrame, limit: int = 5) -> DataFrame:
     return scored.where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
 

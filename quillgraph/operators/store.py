@@ -7,18 +7,23 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .journal import RETAINED
 from .sync import Graph
 
 SCHEMA_VERSION = 3
 
 
 class GraphStore:
-    """Snapshots under ``root/v=N``; ``root/current`` names the one to read.
+    """Snapshots under ``root/v=N``; the greatest file of ``root/pointers`` names the one to read.
 
-    A writer puts a whole new version beside the old one and then replaces the
-    pointer, so readers see one or the other.
+    A writer puts a whole new version beside the old ones and then adds a pointer,
+    by one rename; pointers are never replaced, so at any moment a reader finds a
+    whole version.  ``KEPT`` versions and pointers stay, and as many journal entries
+    as ``journal.retain`` keeps.
     """
 
+    KEPT = 2
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -29,9 +34,10 @@ class GraphStore:
 
     def meta(self) -> dict:
         """Version, sequence and project; version 0 before the first write."""
-        if not self._fs().exists(self._paths(f"{self.root}/current")):
+        names = self._names("pointers")
+        if not names:
             return {"version": 0, "sequence": 0, "schema": SCHEMA_VERSION, "project": None}
-        found = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/current").collect()))
+        found = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/pointers/{names[-1]}").collect()))
         if found["schema"] > SCHEMA_VERSION:
             raise ValueError(f"the store's schema {found['schema']} is newer than {SCHEMA_VERSION}")
         return found
@@ -57,13 +63,29 @@ class GraphStore:
             t.write.mode("overwrite").parquet(f"{self.root}/v={v}/{name}")
         delta.select(F.lit(now).alias("synced_at"), "entity", "op", "id").write.mode("overwrite").parquet(f"{self.root}/journal/sequence={seq}")
         new = {"version": v, "sequence": seq, "schema": SCHEMA_VERSION, "project": project}
-        self._put("current", json.dumps(new))
+        self._put(f"{v:012d}", json.dumps(new))
+        self._trim(v, seq)
         return new
 
+    def _names(self, folder: str) -> list[str]:
+        path = self._paths(f"{self.root}/{folder}")
+        found = [f.getPath().getName() for f in self._fs().listStatus(path)] if self._fs().exists(path) else []
+        return sorted(n for n in found if not n.endswith(".part"))
+
+    def _trim(self, version: int, sequence: int) -> None:
+        """Delete what is no longer kept, pointers before their versions."""
+        for name in self._names("pointers"):
+            if int(name) <= version - self.KEPT:
+                self._fs().delete(self._paths(f"{self.root}/pointers/{name}"), False)
+                self._fs().delete(self._paths(f"{self.root}/v={int(name)}"), True)
+        for name in self._names("journal"):
+            if name.startswith("sequence=") and int(name[9:]) <= sequence - RETAINED:
+                self._fs().delete(self._paths(f"{self.root}/journal/{name}"), True)
+
     def _put(self, name: str, body: str) -> None:
-        fs, part = self._fs(), self._paths(f"{self.root}/{name}.part")
+        fs, part = self._fs(), self._paths(f"{self.root}/pointers/{name}.part")
         out = fs.create(part, True)
         out.write(bytearray(body.encode()))
         out.close()
-        fs.delete(self._paths(f"{self.root}/{name}"), False)
-        fs.rename(part, self._paths(f"{self.root}/{name}"))
+        if not fs.rename(part, self._paths(f"{self.root}/pointers/{name}")):
+            raise RuntimeError(f"another writer made version {int(name)}")

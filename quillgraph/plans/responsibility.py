@@ -1,8 +1,9 @@
 """Responsibility plans: seeds, a budgeted walk, units and what was left out.
 
 The walk goes level by level.  A level's events are joins of the frontier with
-the edges; window sums decide which fit the budgets.  Only the plan itself, whose
-size its budgets bound, is ever held; what was left out stays a DataFrame.
+the edges, read in pages of what the budgets can still take; the driver decides
+page by page.  Only the plan itself, whose size its budgets bound, is ever held;
+what was left out stays a DataFrame.
 """
 
 from __future__ import annotations
@@ -97,9 +98,9 @@ def build(nodes: DataFrame, edges: DataFrame, request: str, scope: str, project:
         if info["size"] < 0:
             return no("missing-revision")
         if not info["is_fresh"]:
-            return no("stale")
+            return no("freshness-limit")
         if room["chars"] <= 0:
-            return no("char-budget", "chars")
+            return no("character-budget", "chars")
         if room["tokens"] <= 0:
             return no("token-budget", "tokens")
         chars = min(info["size"], room["chars"], 4 * room["tokens"])
@@ -124,7 +125,7 @@ def build(nodes: DataFrame, edges: DataFrame, request: str, scope: str, project:
         events = steps.join(front, "src")
         kind_ok = F.col("kind").isin(*limits.kinds) if limits.kinds is not None else F.lit(True)
         fit = kind_ok & (F.col("confidence") >= limits.confidence)
-        reason = F.when(~kind_ok, "kind-filter").otherwise("confidence-filter")
+        reason = F.when(~kind_ok, "edge-kind-filter").otherwise("confidence-filter")
         parts.append(events.where(~fit).select(reason.alias("reason"), F.col("dst").alias("node"), F.col("id").alias("edge")))
         if level == limits.hops:
             over = events.where(fit).select(F.lit("hop-limit").alias("reason"), F.col("dst").alias("node"), F.col("id").alias("edge"))
@@ -171,13 +172,13 @@ def build(nodes: DataFrame, edges: DataFrame, request: str, scope: str, project:
         shut = _after(closed) if closed else F.lit(False)
         nodes_shut = shut if len(picked) >= limits.nodes else F.lit(False)
         why = F.when(spent, "edge-budget").when(nodes_shut, "node-budget").when(~F.col("in_scope"), "scope-mismatch").when(F.col("size") < 0, "missing-revision").when(
-            ~F.col("is_fresh"), "stale").when(shut & F.lit(room["chars"] <= 0), "char-budget").otherwise("token-budget")
+            ~F.col("is_fresh"), "freshness-limit").when(shut & F.lit(room["chars"] <= 0), "character-budget").otherwise("token-budget")
         taken = F.broadcast(spark.createDataFrame([(e,) for e in used], "id string"))
         rest = fresh.join(taken, "id", "left_anti").select(why.alias("reason"), F.col("dst").alias("node"), F.col("id").alias("edge"))
         parts.append(rest)
         met = {r["reason"] for r in rest.select("reason").distinct().collect()}
-        for flag in ("nodes", "edges", "chars", "tokens"):
-            flags[flag] |= f"{flag[:-1]}-budget" in met
+        for flag, name in (("nodes", "node"), ("edges", "edge"), ("chars", "character"), ("tokens", "token")):
+            flags[flag] |= f"{name}-budget" in met
     chosen = spark.createDataFrame([(n, *v) for n, v in picked.items()], "id string, depth int, chars int, tokens int, seed boolean")
     edge_rows = spark.createDataFrame(list(used.items()), "id string, depth int")
     out = spark.createDataFrame(sorted(left_out, key=str), "reason string, node string, edge string")
@@ -188,12 +189,30 @@ def build(nodes: DataFrame, edges: DataFrame, request: str, scope: str, project:
 
 
 def units(chosen: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Selected nodes in units: a seed memory alone, others by their source; awake if a seed is in it."""
+    """Selected nodes in units, with kind and state.
+
+    A seed memory is its own unit; other memories, evidence and documents go by their
+    source if they name one; any other node alone; projects have none.  A unit is
+    awake if a seed is in it, sleeping one step away, else deferred; its expansion are
+    its nearest nodes.
+    """
     path = F.get_json_object("metadata", "$.sourcePath")
-    rows = chosen.join(nodes.select("id", "kind", "metadata"), "id").where("kind <> 'project'")
-    key = F.when(F.col("seed") & (F.col("kind") == "memory"), F.concat(F.lit("memory:"), "id")).when(path.isNotNull(), F.concat(F.lit("source:"), path)).otherwise(F.concat(F.lit("node:"), "id"))
-    return rows.groupBy(key.alias("unit_key")).agg(F.min("depth").alias("depth"), F.bool_or("seed").alias("seed"), F.array_sort(F.collect_list("id")).alias("nodes"),
-                                                  F.array_sort(F.collect_list(F.when(F.col("depth") > 0, F.col("id")))).alias("expansion")).select("*", F.when(F.col("seed"), "awake").otherwise("sleeping").alias("state"))
+    rows = chosen.join(nodes.select("id", "kind", "label", "metadata"), "id").where("kind <> 'project'")
+    alone = F.col("seed") & (F.col("kind") == "memory")
+    cluster = ~alone & path.isNotNull() & F.col("kind").isin("memory", "evidence", "source_document")
+    key = F.when(cluster, F.concat(F.lit("source:"), path)).otherwise(F.col("id"))
+    kind = F.when(cluster, "source-cluster").when(F.col("kind").isin("memory", "session", "skill"), F.col("kind")).otherwise("resource")
+    found = rows.groupBy(key.alias("unit_key"), kind.alias("kind")).agg(
+        F.min("depth").alias("depth"), F.bool_or("seed").alias("seed"), F.array_sort(F.collect_list("id")).alias("nodes"), F.collect_list(F.struct("depth", "id")).alias("at"))
+    near = F.array_sort(F.transform(F.filter("at", lambda x: x["depth"] == F.col("depth")), lambda x: x["id"]))
+    return found.select("unit_key", "kind", "depth", "seed", "nodes", near.alias("expansion"), F.when(F.col("seed"), "awake").when(F.col("depth") == 1, "sleeping").otherwise("deferred").alias("state"))
+
+
+def current(plan_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, problem): selected nodes that are gone, or whose revision is another by now; empty if the plan still holds."""
+    now = nodes.select("id", F.col("current_revision_id").alias("now"))
+    j = plan_nodes.select("id", "revision_id").join(now, "id", "left")
+    return j.select("id", F.when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("revision_id"), "changed").alias("problem")).where("problem is not null")
 
 
 def context(plan: Plan, nodes: DataFrame, limit: int) -> DataFrame:

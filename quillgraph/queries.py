@@ -180,10 +180,15 @@ def t7_snapshot_page(spark, d):
     return graph.snapshot_page(nodes, e, 1515, 50)[1].select("id", "kind")
 
 
-@query("j6_unresolved", "SELECT 'o' || o_custkey AS k, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY ALL")
+@query("j6_unresolved", """
+SELECT DISTINCT 'customer' AS a, o_custkey::VARCHAR AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+UNION SELECT 'order', o_orderkey::VARCHAR FROM orders WHERE o_orderstatus = 'F'""")
 def j6_unresolved(spark, d):
-    have = read(spark, d, "customer").where("c_acctbal > 0").select("c_custkey")
-    return read(spark, d, "orders").join(have, F.col("o_custkey") == F.col("c_custkey"), "left_anti").groupBy(F.concat(F.lit("o"), F.col("o_custkey").cast("string")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    orders = read(spark, d, "orders")
+    edges = orders.select(F.lit("order").alias("source_adapter"), F.col("o_orderkey").cast("string").alias("source_key"), F.lit("customer").alias("target_adapter"), F.col("o_custkey").cast("string").alias("target_key"))
+    have = read(spark, d, "customer").where("c_acctbal > 0").select(F.lit("customer").alias("source_adapter"), F.col("c_custkey").cast("string").alias("source_key"))
+    nodes = have.union(orders.where("o_orderstatus <> 'F'").select(F.lit("order"), F.col("o_orderkey").cast("string")))
+    return sync.unresolved(edges, nodes).select("a", "k")
 
 
 @query("j7_lookup", "SELECT ref, arg_min(id, rank * 100000 + length(id)) AS id FROM (SELECT n_name AS ref, 'n' || n_nationkey AS id, 1 AS rank FROM nation UNION ALL SELECT 'n' || n_nationkey, 'n' || n_nationkey, 0 FROM nation) GROUP BY ref")
@@ -200,15 +205,17 @@ def u1_both_ways(spark, d):
 
 @query("p10_edge_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_discount >= 0.05")
 def p10_edge_filter(spark, d):
-    return read(spark, d, "lineitem").where(F.col("l_returnflag").isin("A", "R") & (F.col("l_discount") >= 0.05)).select("l_orderkey", "l_linenumber")
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("kind"), F.col("l_discount").alias("confidence"))
+    return graph.filter_edges(rows, ["A", "R"], 0.05).select("l_orderkey", "l_linenumber")
 
 
 @query("d11_fixture", """
 WITH e AS (SELECT range AS j, range % 1000 AS src, range // 1000 AS lane FROM range(4000)),
 s AS (SELECT j, src, (src + [1, 7, 31, 127, 509, 1021, 4093][lane % 7 + 1] + 2 * (lane // 7)) % 1000 AS t FROM e)
-SELECT j AS e, src, CASE WHEN t = src THEN (t + 1) % 1000 ELSE t END AS dst, 0.5 + (j % 51) / 100 AS confidence FROM s""")
+SELECT j AS e, src, CASE WHEN t = src THEN (t + 1) % 1000 ELSE t END AS dst, 0.5 + (j % 51) / 100 AS confidence,
+       ['DERIVED_FROM', 'OBSERVED_IN_SESSION', 'APPLIES_TO_PROJECT', 'SUPPORTS', 'CONTRADICTS', 'SUPERSEDES', 'DUPLICATES', 'SAME_TOPIC_AS', 'REQUIRES_SKILL'][j % 9 + 1] AS kind FROM s""")
 def d11_fixture(spark, d):
-    return evaluation.fixture_edges(spark, 1000, 4000).select("e", "src", "dst", "confidence")
+    return evaluation.fixture_edges(spark, 1000, 4000).select("e", "src", "dst", "confidence", "kind")
 
 
 # --- sync and journal -----------------------------------------------------------------------------
@@ -272,13 +279,13 @@ def a2_bounds(spark, d):
 
 # --- linkage, routing, checks ----------------------------------------------------------------------
 
-_RUNS = "claims AS (SELECT item_id % 20 AS run, item_id AS id, text AS body FROM benchmark), rws AS (SELECT doc_id % 20 AS run, doc_id AS id, text AS body FROM documents)"
+_RUNS = "claims AS (SELECT 0::BIGINT AS run, item_id AS id, text AS body FROM benchmark), rws AS (SELECT 0::BIGINT AS run, doc_id AS id, text AS body FROM documents)"
 
 
 def run_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items as claims and documents as rows, in twenty runs."""
-    return (read(spark, d, "benchmark").select((F.col("item_id") % 20).alias("run"), F.col("item_id").alias("id"), F.col("text").alias("body")),
-            read(spark, d, "documents").select((F.col("doc_id") % 20).alias("run"), F.col("doc_id").alias("id"), F.col("text").alias("body")))
+    """Benchmark items as claims and documents as rows, all in one run."""
+    return (read(spark, d, "benchmark").select(F.lit(0).cast("bigint").alias("run"), F.col("item_id").alias("id"), F.col("text").alias("body")),
+            read(spark, d, "documents").select(F.lit(0).cast("bigint").alias("run"), F.col("doc_id").alias("id"), F.col("text").alias("body")))
 
 
 _CT = "list_distinct([t FOR t IN string_split_regex({}, '[^a-z0-9:_/-]+') IF length(t) >= 4])"
@@ -288,7 +295,7 @@ _CT = "list_distinct([t FOR t IN string_split_regex({}, '[^a-z0-9:_/-]+') IF len
 WITH {_RUNS}, c AS (SELECT run, id, lower({_SQUEEZE.format('body')}) AS b FROM claims), r AS (SELECT run, id, lower({_SQUEEZE.format('body')}) AS b FROM rws),
 ct AS (SELECT *, {_CT.format('b')} AS t FROM c), rt AS (SELECT *, {_CT.format('b')} AS t FROM r),
 p AS (SELECT ct.run, rt.id AS row, ct.id AS claim, ct.b AS cb, rt.b AS rb, len(list_intersect(ct.t, rt.t)) AS o, least(len(ct.t), len(rt.t)) AS m FROM ct JOIN rt ON ct.run = rt.run),
-s AS (SELECT run, row, claim, CASE WHEN rb = '' THEN 0 WHEN cb = rb THEN 100 WHEN o > 0 AND (contains(cb, rb) OR contains(rb, cb)) THEN 90 WHEN o > 0 AND cb <> '' AND contains(rb, substr(cb, 1, 80)) THEN 80 WHEN m = 0 THEN 0
+s AS (SELECT run, row, claim, CASE WHEN rb = '' THEN 0 WHEN cb = rb THEN 100 WHEN contains(cb, rb) OR contains(rb, cb) THEN 90 WHEN cb <> '' AND contains(rb, substr(cb, 1, 80)) THEN 80 WHEN m = 0 THEN 0
        WHEN o / m >= 0.6 THEN 70 WHEN o / m >= 0.35 THEN 45 WHEN o / m >= 0.2 THEN 20 ELSE 0 END AS score FROM p),
 t AS (SELECT *, row_number() OVER (PARTITION BY run, row ORDER BY score DESC, claim) AS n, max(score) OVER (PARTITION BY run, row) AS top FROM s WHERE score > 0),
 u AS (SELECT *, count(*) FILTER (score = top) OVER (PARTITION BY run, row) AS ties FROM t)
@@ -316,6 +323,18 @@ def j20_covered_orders(spark, d):
     return checks.covered_groups(read(spark, d, "lineitem"), "l_orderkey", "l_suppkey", allowed)
 
 
+@query("j20_underived", """
+WITH p AS (SELECT o_orderkey AS id, o_orderpriority AS action, list_distinct(list(l_suppkey)) AS refs FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
+t AS (SELECT n_nationkey AS id, action, list(s_suppkey) AS refs FROM supplier JOIN nation ON s_nationkey = n_nationkey, (SELECT DISTINCT o_orderpriority AS action FROM orders WHERE o_orderpriority < '3') GROUP BY ALL)
+SELECT id FROM p WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.action = p.action AND len(list_intersect(p.refs, t.refs)) = len(p.refs))""")
+def j20_underived(spark, d):
+    orders = read(spark, d, "orders")
+    p = orders.join(read(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("action")).agg(F.collect_list("l_suppkey").alias("refs"))
+    home = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_nationkey").alias("id")).agg(F.collect_list("s_suppkey").alias("refs"))
+    actions = orders.where("o_orderpriority < '3'").select(F.col("o_orderpriority").alias("action")).distinct()
+    return checks.underived(p, home.join(F.broadcast(actions)))
+
+
 @query("a8_distribution", "SELECT l_shipdate AS value, count(*) AS n FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY l_shipdate")
 def a8_distribution(spark, d):
     return checks.distribution(read(spark, d, "lineitem"), "l_shipdate")
@@ -340,9 +359,10 @@ def a15_percentiles(spark, d):
     return folds.nearest_rank(rows, "l_quantity", ["l_returnflag"], {"median": 0.5, "p95": 0.95}).join(rows.groupBy("l_returnflag").agg(F.min("l_quantity").alias("lowest"), F.max("l_quantity").alias("highest")), "l_returnflag")
 
 
-@query("a17_run_audit", f"SELECT source AS run, count(*) AS conclusions, 0::BIGINT AS unsupported, 1.0::DOUBLE AS citation_validity, (count(*) - count(DISTINCT lang || chr(0) || lower({_SQUEEZE.format('text')})))::DOUBLE / count(*) AS duplicate_rate FROM documents GROUP BY source")
+@query("a17_run_audit", f"SELECT source AS run, count(*) AS conclusions, count(*) FILTER (n_chars % 7 = 0 AND n_chars % 3 > 0) AS unsupported, coalesce(sum(CASE WHEN n_chars % 7 > 0 THEN n_chars % 3 ELSE 0 END)::DOUBLE / nullif(sum(n_chars % 3), 0), 1.0) AS citation_validity, (count(*) - count(DISTINCT lang || chr(0) || lower({_SQUEEZE.format('text')})))::DOUBLE / count(*) AS duplicate_rate FROM documents GROUP BY source")
 def a17_run_audit(spark, d):
-    return checks.run_audit(read(spark, d, "documents").select(F.col("source").alias("run"), F.col("lang").alias("action"), F.col("text").alias("body"), F.lit(1).alias("cited"), F.lit(1).alias("valid")))
+    cited = F.col("n_chars") % 3
+    return checks.run_audit(read(spark, d, "documents").select(F.col("source").alias("run"), F.col("lang").alias("action"), F.col("text").alias("body"), cited.alias("cited"), F.when(F.col("n_chars") % 7 > 0, cited).otherwise(0).alias("valid")))
 
 
 @query("a23_inspect", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS place FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5")
@@ -352,8 +372,10 @@ def a23_inspect(spark, d):
 
 @query("p6_all_within", "SELECT user_id, bool_and(event_type IN ('view', 'click', 'purchase')) AS admitted, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
 def p6_all_within(spark, d):
-    sets = read(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("kinds"))
-    return sets.select("user_id", F.forall("kinds", lambda k: k.isin("view", "click", "purchase")).alias("admitted"), F.size("kinds").cast("bigint").alias("kinds"))
+    known = F.col("event_type").isin("view", "click", "purchase")
+    path = F.concat(F.when(known, "/w/").otherwise("/w2/"), "event_type")
+    sets = read(spark, d, "events").groupBy("user_id").agg(F.collect_set(path).alias("kinds"))
+    return sets.select("user_id", text.all_within(F.col("kinds"), F.lit("/w/")).alias("admitted"), F.size("kinds").cast("bigint").alias("kinds"))
 
 
 # --- windows --------------------------------------------------------------------------------------
@@ -385,7 +407,7 @@ def w12_canonical(spark, d):
 
 @query("t4_recency", "SELECT event_id, user_id FROM events WHERE event_type <> 'view' ORDER BY ts DESC, user_id, event_id LIMIT 50")
 def t4_recency(spark, d):
-    return read(spark, d, "events").where("event_type <> 'view'").orderBy(F.desc("ts"), "user_id", "event_id").limit(50).select("event_id", "user_id")
+    return search.recent(read(spark, d, "events"), ["ts"], ["user_id", "event_id"], 50, F.col("event_type") != "view").select("event_id", "user_id")
 
 
 # --- what SQL can't tell --------------------------------------------------------------------------

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from quillgraph import queries
+from quillgraph import queries_records  # noqa: F401  registers its queries with the others
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -1,14 +1,15 @@
 """Exact top-k search (10): a Voronoi join on the inner product.
 
 1. Pivots are a bounded sample of rows.  Every vector goes to the cell of its
-   nearest pivot; a cell's summary is its size and radius (greatest distance to
-   the pivot).  For a query q and a cell with pivot p and radius r, no product is
-   above q.p + |q| r.
+   nearest pivot; a cell's summary is its size, radius (greatest distance to the
+   pivot) and greatest norm.  For a query q and a cell with pivot p, radius r and
+   norm m, no product is above q.p + |q| r, nor above |q| m.
 2. Each query is solved in the cell where it lies.  Its k-th score is a bound: only
    cells whose summary allows as much are visited, and the query is copied to
    those alone.
-3. Cells are stored in chunks of bounded size and queries come in blocks, so a cell
-   that holds a third of all rows is many tasks.
+3. Cells are stored in chunks of bounded size; a cell that holds a third of all
+   rows is many tasks.  The queries that visit a cell come in blocks of bounded
+   size, and a cell's rows are sent once for each of its own blocks.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, apart
 
-K, CHUNK, BLOCK, PIVOTS = 5, 4096, 4096, 256
+K, CHUNK, BLOCK, PIVOTS = 5, 8192, 16_384, 256
+#: Sums of products below this are exact in doubles.
+_EXACT = 2.0 ** 53
 
 
 def to_integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -46,64 +48,72 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _assign(pivots: np.ndarray):
-    """mapInArrow function: vec_id, v, q to those with cell and distance."""
+    """mapInArrow function: row, vec_id, v, q to those with cell, distance to the pivot and norm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squares = (pivots ** 2).sum(1)
         for batch in batches:
-            x = _matrix(batch.column(1), pivots.shape[1])
-            cell = np.empty(len(x), np.int32)
-            far = np.empty(len(x))
-            for i in range(0, len(x), BLOCK):
-                y = x[i:i + BLOCK]
-                d = squares - 2 * (y @ pivots.T)
-                cell[i:i + BLOCK] = d.argmin(1)
-                far[i:i + BLOCK] = np.sqrt(((y - pivots[cell[i:i + BLOCK]]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cell), pa.array(far)],
-                                             ["vec_id", "v", "q", "cell", "far"])
+            x = _matrix(batch.column(2), pivots.shape[1])
+            cell, far = np.empty(len(x), np.int32), np.empty(len(x))
+            for i in range(0, len(x), 4096):
+                y = x[i:i + 4096]
+                cell[i:i + 4096] = (squares - 2 * (y @ pivots.T)).argmin(1)
+                far[i:i + 4096] = np.sqrt(((y - pivots[cell[i:i + 4096]]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far), pa.array(np.sqrt((x ** 2).sum(1)))], ["row", "vec_id", "v", "q", "cell", "far", "norm"])
 
     return run
 
 
-def _visits(pivots: np.ndarray, radius: np.ndarray):
-    """mapInArrow function: vec_id, v, own cell, bound to (vec_id, cell) of other cells that may hold as much."""
+def _visits(pivots: np.ndarray, radius: np.ndarray, norm: np.ndarray):
+    """mapInArrow function: row, v, own cell, bound to (row, cell) of other cells that may hold as much."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), pivots.shape[1])
             mine, bound = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
-            bound = np.where(np.isnan(bound), -np.inf, bound)
-            top = x @ pivots.T + np.sqrt((x ** 2).sum(1))[:, None] * radius[None, :]
-            top = np.where(radius < 0, -np.inf, top * (1 + 1e-12) + 1e-6)
+            size = np.sqrt((x ** 2).sum(1))[:, None]
+            top = np.minimum(x @ pivots.T + size * radius, size * norm)
+            top += 1e-9 * (size * (norm + radius)) + 1e-6  # more than rounding can take away
             hit = (top >= bound[:, None]) & (radius >= 0)[None, :]
             hit[np.arange(len(x)), mine] = False
             rows, cells = np.nonzero(hit)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(cells.astype(np.int32))], ["vec_id", "cell"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(cells.astype(np.int32))], ["row", "cell"])
 
     return run
 
 
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers: in doubles while they are exact there, else in whole numbers; OverflowError beyond 64 bits."""
+    most = np.abs(q).sum(1).max(initial=0.0) * np.abs(x).max(initial=0.0)
+    if most < _EXACT:
+        return q @ x.T
+    whole = np.array([[int(v) for v in r] for r in q], object) @ np.array([[int(v) for v in r] for r in x], object).T
+    if any(not -2 ** 63 <= v < 2 ** 63 for v in whole.flat):
+        raise OverflowError("an inner product is beyond 64 bits")
+    return whole
+
+
 def _solve(k: int, dim: int):
     """Cogrouped function: the best of a chunk for each query of a block."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
-    def run(queries: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+    def run(queries: pa.Table, chunk: pa.Table) -> pa.Table:
         if not len(queries) or not len(chunk):
-            return empty
-        def rows(frame: pd.DataFrame) -> np.ndarray:
-            return np.stack([np.pad(np.asarray(v, float), (0, dim - len(v))) for v in frame["v"]])
-        chunk = chunk.sort_values("vec_id", kind="stable")
-        ids, x, out = chunk["vec_id"].to_numpy(), rows(chunk), []
-        for i in range(0, len(queries), 512):
-            part = queries.iloc[i:i + 512]
-            s = rows(part) @ x.T
-            q = part["vec_id"].to_numpy()
-            s[q[:, None] == ids[None, :]] = -np.inf
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ties stay in order of vec_id
-            score = np.take_along_axis(s, best, 1)
-            keep = np.isfinite(score)
-            out.append(pd.DataFrame({"query_id": np.broadcast_to(q[:, None], best.shape)[keep], "vec_id": ids[best][keep], "score": score[keep].astype("int64")}))
-        return pd.concat(out)
+            return schema.empty_table()
+        ids = chunk.column("vec_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], _matrix(chunk.column("v").combine_chunks(), dim)[order]
+        q_ids, q = queries.column("query_id").to_numpy(), _matrix(queries.column("w").combine_chunks(), dim)
+        out = []
+        for i in range(0, len(q), 512):
+            s, mine = products(q[i:i + 512], x), q_ids[i:i + 512]
+            own = mine[:, None] == ids[None, :]
+            # ties stay in order of vec_id, own rows go last
+            best = np.lexsort((-s, own), axis=1)[:, :k] if s.dtype != object else np.array(
+                [sorted(range(len(ids)), key=lambda j: (o[j], -r[j]))[:k] for r, o in zip(s, own)])
+            keep = ~np.take_along_axis(own, best, 1)
+            out.append((np.broadcast_to(mine[:, None], best.shape)[keep], ids[best][keep], np.take_along_axis(s, best, 1)[keep].astype(np.int64)))
+        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
 
     return run
 
@@ -118,41 +128,48 @@ def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int = PIVOTS) -> Dat
 
     ``vectors`` has vec_id and v (array of whole numbers as double); ``is_query``
     is a condition on it.  A row is no candidate for queries of its own vec_id.
-    Repeated rows of one id count once (the greatest vector); shorter vectors are
-    padded with zeros.  Queries without candidates give no rows; an empty table
-    gives an empty table.  At most ``pivots`` rows are collected.
+    Rows that share an id are candidates each; queries that share one have one
+    list.  Shorter vectors are padded with zeros.  Scores beyond 64 bits raise.
+    Queries without candidates give no rows; an empty table gives an empty table;
+    other columns are ignored.  At most ``pivots`` rows are collected.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "knn")
-    base = scratch.table(vectors.groupBy("vec_id").agg(F.max("v").alias("v")).select("vec_id", "v", is_query.alias("q")))
+    base = scratch.table(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", F.coalesce(is_query, F.lit(False)).alias("q")))
     n, dim = base.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     if not n:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     dim = max(dim, 1)
     m = int(max(1, min(pivots, round(n ** 0.5 / 4))))
-    # the sample of pivots: distinct vectors, smallest hash first, at most ``pivots``
-    sample = base.select("v").groupBy("v").agg(F.min(F.xxhash64("v")).alias("h")).orderBy("h").limit(m).collect()
-    centres = np.array([np.pad(np.asarray(r["v"], float), (0, dim - len(r["v"]))) for r in sample])
-    cells = scratch.table(base.mapInArrow(_assign(centres), "vec_id bigint, v array<double>, q boolean, cell int, far double"))
-    summary = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r"), F.sum(F.col("q").cast("int")).alias("nq")).collect()
-    radius, parts, total_q = np.full(len(centres), -1.0), np.ones(len(centres), int), sum(s["nq"] for s in summary)
+    # the sample of pivots: the rows with the smallest hashes, at most ``pivots``; equal vectors once
+    some = [r["row"] for r in base.select("row", F.xxhash64("v").alias("h")).orderBy("h", "row").limit(m).collect()]
+    sample = base.where(F.col("row").isin(some)).select("v").collect()
+    centres = np.unique(np.array([np.pad(np.asarray(r["v"], float), (0, dim - len(r["v"]))) for r in sample]), axis=0)
+    cells = scratch.table(base.mapInArrow(_assign(centres), "row bigint, vec_id bigint, v array<double>, q boolean, cell int, far double, norm double"))
+    summary = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r"), F.max("norm").alias("m"), F.count_if("q").alias("nq")).collect()
+    radius, norm, parts = np.full(len(centres), -1.0), np.zeros(len(centres)), np.ones(len(centres), int)
     for s in summary:
-        radius[s["cell"]], parts[s["cell"]] = s["r"], -(-s["n"] // CHUNK)
-    n_parts = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell") + 1)
-    blocks = max(1, -(-total_q // BLOCK))
-    queries = cells.where("q").select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int").alias("block"))
-    data = cells.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int").alias("chunk"),
-                        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    key = ["cell", "chunk", "block"]
+        radius[s["cell"]], norm[s["cell"]], parts[s["cell"]] = s["r"], s["m"], -(-s["n"] // CHUNK)
+
+    def of_cell(values) -> Column:
+        return F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("cell") + 1)
 
-    def solved(q: DataFrame) -> DataFrame:
-        q = q.select("vec_id", "v", "cell", "block", F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("chunk"))
-        return scratch.table(q.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(_solve(k, dim), "query_id bigint, vec_id bigint, score bigint"))
+    key = ["cell", "chunk", "block"]
 
-    first = solved(queries)
-    bound = _best(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bound"))
-    asked = queries.join(bound, "vec_id", "left").select("vec_id", "v", "cell", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
-    visits = asked.mapInArrow(_visits(centres, radius), "vec_id bigint, cell int")
-    more = solved(visits.join(queries.drop("cell"), "vec_id"))
+    def solved(asked: DataFrame, counts: dict[int, int]) -> DataFrame:
+        """The best of the cells asked; ``asked`` has row, vec_id, v, cell."""
+        blocks = [-(-counts.get(c, 0) // BLOCK) for c in range(len(centres))]
+        q = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("w"), F.col("cell").alias("cell"), F.pmod(F.xxhash64("row", F.lit(3)), F.greatest(of_cell(blocks), F.lit(1))).cast("int").alias("block"),
+                         F.explode(F.sequence(F.lit(0), of_cell(parts) - 1)).alias("chunk"))
+        data = cells.where(of_cell(blocks) > 0).select("vec_id", "v", "cell", F.pmod(F.xxhash64("row"), of_cell(parts)).cast("int").alias("chunk"),
+                                                       F.explode(F.sequence(F.lit(0), of_cell(blocks) - 1)).alias("block"))
+        return scratch.table(q.groupBy(*key).cogroup(data.groupBy(*key)).applyInArrow(_solve(k, dim), "query_id bigint, vec_id bigint, score bigint"))
+
+    queries = cells.where("q").select("row", "vec_id", "v", "cell")
+    first = solved(queries, {s["cell"]: s["nq"] for s in summary})
+    bound = _best(first, k).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("bound"))
+    asked = queries.join(apart(bound), F.col("vec_id") == F.col("query_id"), "left").select("row", "v", "cell", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    visits = scratch.table(asked.mapInArrow(_visits(centres, radius, norm), "row bigint, cell int"))
+    counts = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cell
+    more = solved(visits.join(queries.drop("cell"), "row"), counts)
     return _best(first.unionByName(more), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

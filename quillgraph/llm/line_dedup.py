@@ -91,20 +91,12 @@ class LineRuns:
         return total.where(F.col("n") >= min_docs).select(*KEY, "last")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """Drop lines whose key many documents hold, except in the largest doc_id.
-
-    Returns the columns of ``docs`` with the new text in ``_llm_text`` and
-    ``_llm_lines`` / ``_llm_dropped`` (before dropping, dropped).  Every row
-    counts as one document, also if rows repeat.  Null and empty texts are one
-    empty line, which is never dropped.  A null doc_id is smaller than any other;
-    a key held by null ids only stays.  A line that stands several times in the
-    document that keeps it stays as often.  Extra columns pass through whatever
-    their names.  An empty table gives an empty table.
-    """
+def _decided(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> DataFrame:
+    """row (all columns of ``docs``), text, lines, kept (both arrays)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.array_distinct(F.transform(
+    packed = docs.select(F.struct(*own(docs)).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = packed.select("doc_id", F.array_distinct(F.transform(
         F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.length(k) >= min_chars), key_hash)).alias("keys"))
     rows = scratch.table(keyed.select("doc_id", F.explode("keys").alias("k")).select(
         "k.h1", "k.h2", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(batches)).cast("int").alias("batch")))
@@ -115,13 +107,32 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     gone = (rows.select(*KEY, "doc_id").join(hot, KEY).where(~F.col("doc_id").eqNullSafe(F.col("last")))
             .groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("_llm_gone"))
             .withColumnRenamed("doc_id", "_llm_key"))
-    out = with_decision(docs, apart(gone))
+    out = with_decision(packed, apart(gone))
     lines = lines_of(F.col("text"))
     kept = F.when(F.col("_llm_gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~(
         (F.length(line_key(x)) >= min_chars) & F.array_contains(F.col("_llm_gone"), key_hash(line_key(x))))))
-    out = out.select(*own(docs), F.size(lines).cast("bigint").alias("_llm_lines"), kept.alias("_llm_kept"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.array_join("_llm_kept", "\n").alias("_llm_text"), "_llm_lines",
-                      (F.col("_llm_lines") - F.size("_llm_kept")).alias("_llm_dropped"))
+    return out.select("row", "text", lines.alias("lines"), kept.alias("kept"))
+
+
+_ADDED = ("_llm_text", "_llm_lines", "_llm_dropped")
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+    """Drop lines whose key many documents hold, except in the largest doc_id.
+
+    Returns the columns of ``docs`` with the new text in ``_llm_text`` and
+    ``_llm_lines`` / ``_llm_dropped`` (before dropping, dropped).  Every row
+    counts as one document, also if rows repeat.  Null and empty texts are one
+    empty line, which is never dropped.  A null doc_id is smaller than any other;
+    a key held by null ids only stays.  A line that stands several times in the
+    document that keeps it stays as often.  Extra columns pass through whatever
+    their names, but that those with a name of the three new ones are left out.
+    An empty table gives an empty table.
+    """
+    out = _decided(docs, min_chars, min_docs, batches)
+    cols = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in _ADDED]
+    return out.select(*cols, F.array_join("kept", "\n").alias("_llm_text"), F.size("lines").cast("bigint").alias("_llm_lines"),
+                      (F.size("lines") - F.size("kept")).cast("bigint").alias("_llm_dropped"))
 
 
 def dedup_stage(docs: DataFrame) -> DataFrame:
@@ -129,11 +140,11 @@ def dedup_stage(docs: DataFrame) -> DataFrame:
 
     A text that loses nothing stays as it is (null too).  Rows all stay; a
     document of which no line is left has an empty text.  ``n_chars``, if there,
-    follows the text.
+    follows the text.  Extra columns pass through whatever their names.
     """
-    out = dedup_lines(docs)
-    text = F.when(F.col("_llm_dropped") > 0, F.col("_llm_text")).otherwise(F.col("text"))
-    cols = {"text": text}
+    out = _decided(docs, MIN_CHARS, MIN_DOCS, BATCHES)
+    fewer, text = F.size("kept") < F.size("lines"), F.array_join("kept", "\n")
+    new = {"text": F.when(fewer, text).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.col("_llm_dropped") > 0, F.length("_llm_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*[cols.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(fewer, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row").getField("n_chars"))
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

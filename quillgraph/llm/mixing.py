@@ -28,9 +28,9 @@ def _tokens(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(f"[^{BLANKS}]+")).cast("bigint")
 
 
-def _state(sources: DataFrame, a: list[float]) -> list[tuple[float, float]]:
-    """For each exponent: entropy as a share of the greatest, and the passes over the
-    source repeated most, if the one repeated least is passed once."""
+def _state(sources: DataFrame, a: list[float], budget: int | None, total: int) -> list[tuple[float, float]]:
+    """For each exponent: entropy as a share of the greatest, and the passes over the source repeated most: with
+    ``budget`` tokens, else if the one repeated least is passed once."""
     live = sources.where("tokens > 0")
     cols = [F.count(F.lit(1)).alias("n")]
     for i, x in enumerate(a):
@@ -41,44 +41,39 @@ def _state(sources: DataFrame, a: list[float]) -> list[tuple[float, float]]:
     if not r["n"]:
         return [(1.0, 1.0)] * len(a)
     top = math.log(r["n"]) or 1.0
-    return [((math.log(r[f"z{i}"]) - x * r[f"l{i}"] / r[f"z{i}"]) / top if r["n"] > 1 else 1.0, r[f"m{i}"] / r[f"s{i}"]) for i, x in enumerate(a)]
+    passes = [r[f"m{i}"] / r[f"s{i}"] if budget is None else budget / max(total, 1) * r[f"m{i}"] / r[f"z{i}"] for i in range(len(a))]
+    return [((math.log(r[f"z{i}"]) - x * r[f"l{i}"] / r[f"z{i}"]) / top if r["n"] > 1 else 1.0, passes[i]) for i, x in enumerate(a)]
 
 
-def find_exponent(sources: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, rounds: int = 3, grid: int = 16) -> float:
-    """The exponent, to ``grid ** -rounds``.  ``sources`` has tokens and share.
+def find_exponent(sources: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, tolerance: float = 1e-4) -> float:
+    """The exponent, by bisection to ``tolerance``.  ``sources`` has tokens and share.
 
     Entropy falls and so do repeats as the exponent grows, so both conditions
-    split [0, 1] in two.  If both can't hold, the limit on repeats wins.
+    split [0, 1] in two.  If both can't hold, the limit on repeats wins.  Each
+    four halvings are told by one aggregate over the sources.
     """
     total = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
 
-    def worst(state: tuple[float, float], x: float) -> float:
-        if budget is None:
-            return state[1]
-        r = sources.where("tokens > 0").agg((F.lit(float(budget)) / max(total, 1) * F.max(F.pow("share", F.lit(x - 1))) / F.sum(F.pow("share", F.lit(x)))).alias("m")).first()[0]
-        return r or 0.0
-
-    lo, hi = 0.0, 1.0
-    for _ in range(rounds):  # the least exponent that respects the limit
-        a = [lo + (hi - lo) * i / grid for i in range(grid + 1)]
-        ok = [worst(s, x) <= repeats * (1 + 1e-9) for s, x in zip(_state(sources, a), a)]
-        i = ok.index(True) if True in ok else grid
-        if i == 0:
-            hi = a[0]
-            break
-        lo, hi = a[i - 1], a[i]
-    least = hi
-    lo, hi = least, 1.0
-    for _ in range(rounds):  # the largest that reaches the entropy
-        a = [lo + (hi - lo) * i / grid for i in range(grid + 1)]
-        ok = [s[0] >= entropy - 1e-9 for s in _state(sources, a)]
-        if ok[-1]:
-            return a[-1]
-        if not ok[0]:
-            return lo
-        i = ok.index(False)
-        lo, hi = a[i - 1], a[i]
-    return lo
+    def bisect(lo: float, hi: float, holds) -> tuple[float, float]:
+        """The last two places between which ``holds`` turns true."""
+        while hi - lo > tolerance:
+            a = [lo + (hi - lo) * i / 16 for i in range(17)]  # four halvings at once
+            state = _state(sources, a, budget, total)
+            left, right = 0, 16
+            while right - left > 1:
+                middle = (left + right) // 2
+                left, right = (left, middle) if holds(state[middle]) else (middle, right)
+            lo, hi = a[left], a[right]
+        return lo, hi
+
+    first, last = _state(sources, [0.0, 1.0], budget, total)
+    within = (lambda s: s[1] <= repeats * (1 + 1e-9))
+    least = 0.0 if within(first) else bisect(0.0, 1.0, within)[1]
+    if last[0] >= entropy - 1e-9:
+        return 1.0
+    if _state(sources, [least], budget, total)[0][0] < entropy - 1e-9:
+        return least
+    return bisect(least, 1.0, lambda s: s[0] < entropy - 1e-9)[0]
 
 
 def _key(level: str) -> Column:
@@ -141,14 +136,14 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
 def mix_stage(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as its copies, and mix_pass, mix_block, mix_order.
 
-    Reading by (mix_pass, mix_block, mix_order) gives the block permutation of
-    each source.
+    Reading by (mix_pass, mix_block, mix_order) gives the block permutation of each
+    source.  Other columns pass through whatever their names, but that those with a
+    name of the three new ones are left out.
     """
-    plan = mix(docs).select(F.col("doc_id").alias("_llm_key"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_llm_src"),
-                            F.col("copies").alias("_llm_copies"), F.col("block").alias("_llm_block"),
-                            F.col("n_tokens").alias("_llm_tokens")).distinct()
-    src = F.coalesce(F.concat(F.lit("s"), docs["source"].cast("string")), F.lit("n"))
-    out = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_llm_key"]) & (src == plan["_llm_src"]) & (_tokens(docs["text"]) == plan["_llm_tokens"]))
-    out = out.where("_llm_copies > 0").select(*own(docs), "_llm_block", F.explode(F.sequence(F.lit(1), F.col("_llm_copies").cast("int"))).alias("mix_pass"))
-    return out.select(*own(docs), "mix_pass", F.col("_llm_block").alias("mix_block"),
-                      F.xxhash64(F.col("doc_id"), F.col("mix_pass"), F.lit(SEED + 1)).alias("mix_order"))
+    src = (lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n")))
+    plan = mix(docs).select(F.col("doc_id").alias("key"), src(F.col("source")).alias("key_src"), "copies", "block", F.col("n_tokens").alias("key_tokens")).distinct()
+    packed = docs.select(F.struct(*own(docs)).alias("row"), "doc_id", src(F.col("source").cast("string")).alias("src"), _tokens(F.col("text")).alias("tokens"))
+    out = packed.join(plan, packed["doc_id"].eqNullSafe(plan["key"]) & (F.col("src") == F.col("key_src")) & (F.col("tokens") == F.col("key_tokens")))
+    out = out.where("copies > 0").select("row", "doc_id", "block", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("turn"))
+    added = {"mix_pass": F.col("turn"), "mix_block": F.col("block"), "mix_order": F.xxhash64("doc_id", "turn", F.lit(SEED + 1))}
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])

@@ -313,3 +313,59 @@ def test_pipeline_rows(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.count() > 50 and out.columns[:5] == spark.read.parquet(f"{SMALL}/documents.parquet").columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "minhash", "decontam", "mixing"]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_matches_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "embeddings"):
+        con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, SMALL).toPandas(), con.execute(queries.ORACLE_SQL[name]).df()
+    cols = sorted(want.columns)
+    plain = (lambda df: sorted(tuple("null" if v is None or v != v else f"{v:.9f}" if isinstance(v, float) else str(v) for v in r) for r in df[cols].astype(object).itertuples(index=False)))
+    assert set(cols) <= set(got.columns) and plain(got) == plain(want)
+
+
+def test_stages_pass_clashing_columns_through(spark, odd, none):
+    names = ("_llm_gone", "_llm_lines", "_llm_kept", "_llm_text", "_llm_block", "_llm_copies", "row", "key", "copies", "doc", "component", "kept")
+    wide = odd.select("*", *[F.lit(n).alias(n) for n in names])
+    empty = wide.where("false")
+    items = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6")], "item_id bigint, text string")
+    model = toxicity.fit([])
+    for stage in (line_dedup.dedup_stage, minhash.near_dedup_stage, mixing.mix_stage, lambda d: decontam.decontam_stage(d, items), lambda d: toxicity.toxicity_stage(d, model)):
+        out = stage(wide)
+        assert out.columns[:len(wide.columns)] == wide.columns
+        rows = out.select(*names).distinct().collect()
+        assert [tuple(r) for r in rows] == [names]
+        assert stage(empty).count() == 0
+    assert mixing.mix_stage(wide.withColumn("mix_pass", F.lit("x"))).columns[-3:] == ["mix_pass", "mix_block", "mix_order"]
+    assert line_dedup.dedup_lines(wide).where("_llm_lines is null").count() == 0
+
+
+def test_knn_repeated_ids_and_great_numbers(spark):
+    schema = "vec_id bigint, v array<double>"
+    rows = [(0, [2.0, 1.0]), (1, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [1.0, 0.0]), (2, [9.0])]
+    got = knn.top_k(spark.createDataFrame(rows, schema), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(2, 18), (1, 6), (1, 2), (1, 2)]
+    q, x = np.array([[2.0 ** 31 + 1, 1.0]]), np.array([[2.0 ** 31 - 1, 3.0]])
+    assert knn.products(q, x)[0, 0] == (2 ** 31 + 1) * (2 ** 31 - 1) + 3
+    with pytest.raises(OverflowError):
+        knn.products(q * 2.0 ** 20, x * 2.0 ** 20)
+
+
+def test_mixing_exponent_against_a_fine_grid(spark):
+    tokens = [5, 40, 300, 2500, 60_000]
+    p = np.array(tokens) / sum(tokens)
+    sources = spark.createDataFrame([(float(t), float(s)) for t, s in zip(tokens, p)], "tokens double, share double")
+    for entropy, repeats, budget in ((0.6, 1e9, None), (0.97, 3.0, None), (0.2, 50.0, None), (0.9, 4.0, 60_000)):
+        def state(a):
+            w = p ** a / (p ** a).sum()
+            return -(w * np.log(w)).sum() / np.log(len(p)), (w / p).max() / (w / p).min() if budget is None else budget / sum(tokens) * (w / p).max()
+        grid = np.linspace(0, 1, 20_001)
+        fits = [a for a in grid if state(a)[1] <= repeats * (1 + 1e-9)]
+        least = min(fits) if fits else 1.0
+        good = [a for a in grid if a >= least and state(a)[0] >= entropy - 1e-9]
+        want = max(good) if good else least
+        assert mixing.find_exponent(sources, entropy, repeats, budget) == pytest.approx(want, abs=3e-4)

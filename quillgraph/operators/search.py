@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +44,22 @@ def search(rows: DataFrame, query: str, limit: int, weights: dict[str, float] =
     terms = sorted({t for q in text.query_tokens(query) for t in q.replace("-", " ").replace("_", " ").split()})
     if not terms:
         return rows.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
-    scored = bm25(postings(rows, weights, key), rows.count(), terms, key)
-    return scored.orderBy("score", key).limit(max(1, min(1000, limit)))
+    # a few terms need no postings: each row's own counts, and one aggregate for what all rows tell
+    split = rows.select(key, *[text.search_terms(F.col(c)).alias(f"t{i}") for i, c in enumerate(weights)])
+    length = sum((F.greatest(F.size(f"t{i}"), F.lit(0)) for i in range(len(weights))), F.lit(0)).alias("length")
+    held = split.select(key, length, *[F.filter(f"t{i}", lambda x: x.isin(terms)).alias(f"t{i}") for i in range(len(weights))])
+    def freq(term: str):
+        return sum((F.lit(float(w)) * F.greatest(F.size(F.filter(f"t{i}", lambda x: x == term)), F.lit(0)) for i, w in enumerate(weights.values())), F.lit(0.0))
+    counted = held.select(key, "length", *[freq(t).alias(f"f{j}") for j, t in enumerate(terms)])
+    seen = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"), *[F.count_if(F.col(f"f{j}") > 0).alias(f"d{j}") for j in range(len(terms))]).first()
+    mean = (seen["length"] or 0) / seen["n"] if seen["n"] else 0.0
+    score = F.lit(0.0)
+    for j in range(len(terms)):
+        raw = math.log((seen["n"] - seen[f"d{j}"] + 0.5) / (seen[f"d{j}"] + 0.5))
+        f = F.col(f"f{j}")
+        score = score + F.when(f > 0, (raw if raw > 0 else 1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))).otherwise(0.0)
+    hit = sum((F.col(f"f{j}") for j in range(len(terms))), F.lit(0.0)) > 0
+    return counted.where(hit).select(key, (-score).alias("score")).orderBy("score", key).limit(max(1, min(1000, limit)))
 
 
 def refresh(index: DataFrame, changed: DataFrame, rows: DataFrame, weights: dict[str, float] = WEIGHTS, key: str = "id") -> DataFrame:

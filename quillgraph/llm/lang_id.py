@@ -19,12 +19,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = 4
-#: Rows of each language that training uses, the longest text among them, and rows for calibration.
-ROWS, LONGEST, HELD, LANGUAGES = 300, 20_000, 60, 200
+#: Rows of each language that training uses, and rows for calibration; of all languages together; a text's length up to which shorter ones are not preferred.
+ROWS, HELD, TEXTS, LONGEST = 300, 60, 72_000, 20_000
 UNKNOWN = "und"
 _M = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -176,20 +176,22 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
 def fit(docs: DataFrame, rows: int = ROWS, held: int = HELD) -> Model:
     """Train on ``rows`` documents of each language and calibrate on ``held`` more.
 
-    Rows come in order of a hash of their id; texts over ``LONGEST`` characters
-    and without letters are no examples, so the sample has a fixed bound.
+    Every language is learned.  Rows come in order of a hash of their id, texts over
+    ``LONGEST`` characters after the others, the shorter ones first.  Together no more
+    than ``TEXTS`` rows are taken, or six of each language if that is more.  Texts
+    without letters are no examples.
     """
-    good = docs.where("lang is not null and text is not null").where(F.length("text").between(1, LONGEST) & F.col("text").rlike(r"\p{L}"))
-    keys = good.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    ranked = keys.select("lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("doc_id", "text").alias("k"))
-    most = ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    names = [r["lang"] for r in most.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    chosen = None
-    for name in names:  # a top-n of one language is a bounded heap in each task
-        part = ranked.where(F.col("lang") == name).orderBy("h", "k").limit(rows + held).select("k", F.lit(name).alias("name"))
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
+    good = docs.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
+    keys = good.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    ranked = keys.select("lang", F.greatest(F.length("text"), F.lit(LONGEST)).alias("long"), F.xxhash64("doc_id").alias("h"), F.xxhash64("doc_id", "text").alias("k"))
+    kinds = ranked.select(F.count_distinct("lang")).first()[0]
+    if not kinds:
         return train({})
+    share = max(min(rows + held, TEXTS // kinds), 6)
+    rows, held = rows * share // (rows + held), held * share // (rows + held)
+    # each task keeps no more than the first rows of a language before they are dealt by it
+    first = Window.partitionBy("lang").orderBy("long", "h", "k")
+    chosen = ranked.select("lang", "k", F.row_number().over(first).alias("n")).where(F.col("n") <= share).select(F.col("lang").alias("name"), "k")
     found = keys.select(F.xxhash64("doc_id", "text").alias("k"), "text").join(F.broadcast(chosen), "k").select("name", "k", "text").distinct().toPandas()
     found = found.sort_values(["name", "k"])
     found["i"] = found.groupby("name").cumcount()
@@ -236,7 +238,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(model)  # bounded by ROWS * LONGEST characters a language
+    shared = spark.sparkContext.broadcast(model)  # bounded by the number of training rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _predict(shared.value)(batches)

@@ -11,7 +11,7 @@ from quillgraph.llm.common import Scratch
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on all labelled rows of the input, takes for ordinary."""
+    """Documents that the classifier, trained on a bounded sample of the labelled rows of the input, takes for ordinary."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.toxicity_stage(docs, toxicity.fit(toxicity.training_rows(docs, labels)))
 

@@ -40,7 +40,7 @@ from .common import Scratch
 
 ORDER = 3
 #: Tokens for each shard of a level; tokens that a task handles at once.
-SHARD, CHUNK = 2_000_000, 500_000
+SHARD, CHUNK = 1_500_000, 500_000
 #: Code of contexts that nothing follows.
 _EMPTY = 255
 _MERGED = "shard int, size bigint, ones bigint, twos bigint, ends array<bigint>, at array<bigint>, part array<double>, file string"

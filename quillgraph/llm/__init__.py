@@ -1,6 +1,6 @@
 """Operators for preparing training text at scale.
 
-Ten operators, one module each, written on the DataFrame API.  ``queries.py``
+The operators, one module each, written on the DataFrame API.  ``queries.py``
 binds each to the test tables under the name ``opN_<name>``.  Nothing outside
 this package imports it.
 """

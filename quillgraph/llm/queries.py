@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, knn, lang_id, line_dedup, lm_trie, minhash, mixing, substring, toxicity, url_filter
+from . import centroids, decontam, knn, lang_id, line_dedup, lm_trie, minhash, mixing, substring, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(vectors, F.pmod("vec_id", F.lit(50)) == 0)
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector: its cluster, its distance to the centroid, and what the clusters amount to."""
+    return centroids.cluster(centroids.to_whole(_read(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
     "op2_mixing": op2_mixing,
@@ -90,13 +95,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_toxicity": op9_toxicity,
     "op10_knn": op10_knn,
+    "op12_centroids": op12_centroids,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _REST = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
 
+
+
+def _lloyd_sql(clusters: int, rounds: int) -> str:
+    """The rounds of clustering one after the other, each a pair of tables."""
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding]::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1)::INT AS k, e FROM v WHERE vec_id IS NOT NULL ORDER BY k LIMIT {clusters})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, min(struct_pack(d := (list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, c.e) + list_inner_product(c.e, c.e))::BIGINT, k := k)) AS best
+  FROM v, c{i} c GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""
+m{i} AS MATERIALIZED (
+  SELECT k, list(m ORDER BY j)::DOUBLE[] AS e FROM (
+    SELECT best.k AS k, j, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::DOUBLE AS m
+    FROM (SELECT best, unnest(e)::BIGINT AS x, generate_subscripts(e, 1) AS j FROM v JOIN a{i} USING (r)) GROUP BY best.k, j) GROUP BY k),
+c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN m{i} m ON c.k = m.k)""")
+    return "WITH " + ",".join(steps) + f"""
+SELECT vec_id, best.k AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.k))::BIGINT AS cluster_inertia,
+       (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.e::BIGINT[], ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (r) JOIN c{rounds} c ON c.k = best.k"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_centroids": _lloyd_sql(40, 5),
     "op4_decontam": f"""
 WITH split AS (
   SELECT doc_id, [x FOR x IN string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM documents),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontam, knn, lang_id, line_dedup, lm_trie, minhash, mixing, substring, toxicity, url_filter
+from . import alignment, centroids, decontam, knn, lang_id, line_dedup, lm_trie, minhash, mixing, substring, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(vectors, F.pmod("vec_id", F.lit(50)) == 0)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: how the tokens of two vocabularies lie on each other, and how common the pairs are."""
+    return alignment.align(_read(spark, sf_dir, "documents"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per vector: its cluster, its distance to the centroid, and what the clusters amount to."""
     return centroids.cluster(centroids.to_whole(_read(spark, sf_dir, "embeddings")))
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_toxicity": op9_toxicity,
     "op10_knn": op10_knn,
+    "op11_alignment": op11_alignment,
     "op12_centroids": op12_centroids,
 }
 

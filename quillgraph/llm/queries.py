@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, centroids, decontam, knn, lang_id, line_dedup, lm_trie, minhash, mixing, substring, toxicity, url_filter
+from . import alignment, centroids, decontam, knn, lang_id, line_dedup, lm_trie, minhash, mixing, partenum, substring, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -89,6 +89,11 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(centroids.to_whole(_read(spark, sf_dir, "embeddings")))
 
 
+def op13_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its shingles and its component of documents at 0.8 and more."""
+    return partenum.similar_documents(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
     "op2_mixing": op2_mixing,
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_knn": op10_knn,
     "op11_alignment": op11_alignment,
     "op12_centroids": op12_centroids,
+    "op13_partenum": op13_partenum,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,6 +116,33 @@ _REST = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') +
 
 
 
+def _jaccard_sql(percent: int, more: str) -> str:
+    """Components of documents whose sets of shingles are as similar."""
+    return f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, [x FOR x IN string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w
+  FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g
+  FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * c >= {percent} * (p.n + q.n - c)),
+sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS node, doc_id AS other FROM documents
+  UNION
+  SELECT reach.node, sides.b FROM reach JOIN sides ON reach.other = sides.a),
+tops AS (SELECT node, min(other) AS top FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, t.top AS component_id{more}
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN tops t ON t.node = d.doc_id"""
+
+
 def _lloyd_sql(clusters: int, rounds: int) -> str:
     """The rounds of clustering one after the other, each a pair of tables."""
     steps = [f"""
@@ -223,27 +256,6 @@ judged AS (
 SELECT doc_id, count(*) AS n_lines, sum(CASE WHEN gone THEN 1 ELSE 0 END)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY pos), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
-    "op8_minhash": f"""
-WITH RECURSIVE split AS (
-  SELECT doc_id, [x FOR x IN string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w
-  FROM documents),
-grams AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g
-  FROM split),
-sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-shared AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
-  FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
-links AS (
-  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
-  WHERE 100 * c >= 75 * (p.n + q.n - c)),
-sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach AS (
-  SELECT doc_id AS node, doc_id AS other FROM documents
-  UNION
-  SELECT reach.node, sides.b FROM reach JOIN sides ON reach.other = sides.a),
-tops AS (SELECT node, min(other) AS top FROM reach GROUP BY node)
-SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, t.top AS component_id, d.doc_id = t.top AS kept
-FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN tops t ON t.node = d.doc_id""",
+    "op8_minhash": _jaccard_sql(75, ", d.doc_id = t.top AS kept"),
+    "op13_partenum": _jaccard_sql(80, ""),
 }

@@ -35,7 +35,8 @@ def find_claims(claims: DataFrame, rows: DataFrame) -> DataFrame:
     Claims have run, id, place, body, refs, targets; rows run, id, place, body, refs,
     targets.  To the body's score come 45 for a common target, 15 if the claim is the
     only one that shares a reference, and 8 for the same place.  Rows without a
-    positive score, and ties under 60, have none.  Each bonus is an equi join.
+    positive score, and ties under 60, have none; of others the first claim in order
+    of place wins.  Each bonus is an equi join.
     """
     by_body = linkage.match(claims.select("run", "id", "body"), rows.where("body is not null").select("run", "id", "body")).select("run", "row", "claim", F.col("score").alias("s"))
 
@@ -49,7 +50,7 @@ def find_claims(claims: DataFrame, rows: DataFrame) -> DataFrame:
     by_ref = sides("refs").select("*", F.count(F.lit(1)).over(w).alias("n")).where("n = 1").select("run", "row", "claim", F.lit(REFERENCE).alias("s"))
     by_place = claims.select("run", F.col("id").alias("claim"), "place").join(rows.select("run", F.col("id").alias("row"), "place"), ["run", "place"]).select("run", "row", "claim", F.lit(PLACE).alias("s"))
     every = by_body.unionByName(by_target).unionByName(by_ref).unionByName(by_place)
-    return linkage.best(every.groupBy("run", "row", "claim").agg(F.sum("s").cast("int").alias("score")).where("score > 0"))
+    return linkage.best(every.groupBy("run", "row", "claim").agg(F.sum("s").cast("int").alias("score")).where("score > 0"), claims)
 
 
 def first_messages(messages: DataFrame, step: str, phase: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .containment import held
 
 
 def _folded(df: DataFrame, key: str) -> DataFrame:
@@ -13,24 +14,11 @@ def _folded(df: DataFrame, key: str) -> DataFrame:
     return df.select("run", F.col("id").alias(key), body.alias(f"{key}_body"), text.claim_tokens(F.col("body")).alias(f"{key}_tokens")).select("*", F.size(f"{key}_tokens").alias(f"{key}_size"))
 
 
-def held(outer: DataFrame, inner: DataFrame, width: int = 16) -> DataFrame:
-    """(run, outer, inner): inner texts (``part``) that lie within outer ones (``text``) of the run.
-
-    An equi join on the first ``width`` characters of the inner text and the pieces
-    of that length of the outer; shorter inner texts meet pieces of their own length.
-    """
-    keys = inner.where("part <> ''").select("*", F.substring("part", 1, width).alias("piece")).withColumn("size", F.length("piece"))
-    sized = outer.join(keys.select("run", "size").distinct(), "run").where("length(text) >= size")
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("size") + 1), lambda i: F.substring("text", i, F.col("size"))))
-    met = sized.select("run", "outer", "text", F.explode(pieces).alias("piece")).join(keys, ["run", "piece"])
-    return met.where(F.contains("text", "part")).select("run", "outer", "inner").distinct()
-
-
 def match(claims: DataFrame, rows: DataFrame) -> DataFrame:
     """(run, row, claim, score) of pairs that score: both sides have run, id, body.
 
-    Pairs come from equi joins on the run and a shared token, and on pieces of
-    the shorter text where one text lies within the other.
+    Pairs come from equi joins on the run and a shared token, and on fingerprints
+    where one text lies within the other.
     """
     c, r = _folded(claims, "claim"), _folded(rows, "row")
     pairs = c.select("run", "claim", F.explode("claim_tokens").alias("t")).join(r.select("run", "row", F.explode("row_tokens").alias("t")), ["run", "t"]).groupBy("run", "claim", "row").agg(F.count(F.lit(1)).alias("both"))
@@ -44,10 +32,14 @@ def match(claims: DataFrame, rows: DataFrame) -> DataFrame:
     return every.select("run", "row", "claim", score.cast("int").alias("score")).where("score > 0")
 
 
-def best(scored: DataFrame) -> DataFrame:
-    """The best claim of each row; none if two share the best score and it is under 60."""
+def best(scored: DataFrame, claims: DataFrame) -> DataFrame:
+    """The best claim of each row, of several the one with the smallest place; none if two share the best score and it is under 60.
+
+    ``claims`` has run, id and place, the number of a claim in its run.
+    """
     w = Window.partitionBy("run", "row")
-    top = scored.select("*", F.row_number().over(w.orderBy(F.desc("score"), "claim")).alias("n"), F.max("score").over(w).alias("top"))
+    placed = scored.join(claims.select("run", F.col("id").alias("claim"), "place"), ["run", "claim"])
+    top = placed.select("*", F.row_number().over(w.orderBy(F.desc("score"), "place", "claim")).alias("n"), F.max("score").over(w).alias("top"))
     ties = top.select("*", F.count_if(F.col("score") == F.col("top")).over(w).alias("ties"))
     return ties.where("n = 1 and (ties = 1 or score >= 60)").select("run", "row", "claim", "score")
 

@@ -279,12 +279,12 @@ def a2_bounds(spark, d):
 
 # --- linkage, routing, checks ----------------------------------------------------------------------
 
-_RUNS = "claims AS (SELECT 0::BIGINT AS run, item_id AS id, text AS body FROM benchmark), rws AS (SELECT 0::BIGINT AS run, doc_id AS id, text AS body FROM documents)"
+_RUNS = "claims AS (SELECT 0::BIGINT AS run, item_id::VARCHAR AS id, item_id AS place, text AS body FROM benchmark), rws AS (SELECT 0::BIGINT AS run, doc_id AS id, text AS body FROM documents)"
 
 
 def run_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items as claims and documents as rows, all in one run."""
-    return (read(spark, d, "benchmark").select(F.lit(0).cast("bigint").alias("run"), F.col("item_id").alias("id"), F.col("text").alias("body")),
+    """Benchmark items as claims, with ids as text and their number as place, and documents as rows, all in one run."""
+    return (read(spark, d, "benchmark").select(F.lit(0).cast("bigint").alias("run"), F.col("item_id").cast("string").alias("id"), F.col("item_id").alias("place"), F.col("text").alias("body")),
             read(spark, d, "documents").select(F.lit(0).cast("bigint").alias("run"), F.col("doc_id").alias("id"), F.col("text").alias("body")))
 
 
@@ -292,16 +292,17 @@ _CT = "list_distinct([t FOR t IN string_split_regex({}, '[^a-z0-9:_/-]+') IF len
 
 
 @query("j15_claim_linkage", f"""
-WITH {_RUNS}, c AS (SELECT run, id, lower({_SQUEEZE.format('body')}) AS b FROM claims), r AS (SELECT run, id, lower({_SQUEEZE.format('body')}) AS b FROM rws),
+WITH {_RUNS}, c AS (SELECT run, id, place, lower({_SQUEEZE.format('body')}) AS b FROM claims), r AS (SELECT run, id, lower({_SQUEEZE.format('body')}) AS b FROM rws),
 ct AS (SELECT *, {_CT.format('b')} AS t FROM c), rt AS (SELECT *, {_CT.format('b')} AS t FROM r),
-p AS (SELECT ct.run, rt.id AS row, ct.id AS claim, ct.b AS cb, rt.b AS rb, len(list_intersect(ct.t, rt.t)) AS o, least(len(ct.t), len(rt.t)) AS m FROM ct JOIN rt ON ct.run = rt.run),
-s AS (SELECT run, row, claim, CASE WHEN rb = '' THEN 0 WHEN cb = rb THEN 100 WHEN contains(cb, rb) OR contains(rb, cb) THEN 90 WHEN cb <> '' AND contains(rb, substr(cb, 1, 80)) THEN 80 WHEN m = 0 THEN 0
+p AS (SELECT ct.run, rt.id AS row, ct.id AS claim, ct.place, ct.b AS cb, rt.b AS rb, len(list_intersect(ct.t, rt.t)) AS o, least(len(ct.t), len(rt.t)) AS m FROM ct JOIN rt ON ct.run = rt.run),
+s AS (SELECT run, row, claim, place, CASE WHEN rb = '' THEN 0 WHEN cb = rb THEN 100 WHEN contains(cb, rb) OR contains(rb, cb) THEN 90 WHEN cb <> '' AND contains(rb, substr(cb, 1, 80)) THEN 80 WHEN m = 0 THEN 0
        WHEN o / m >= 0.6 THEN 70 WHEN o / m >= 0.35 THEN 45 WHEN o / m >= 0.2 THEN 20 ELSE 0 END AS score FROM p),
-t AS (SELECT *, row_number() OVER (PARTITION BY run, row ORDER BY score DESC, claim) AS n, max(score) OVER (PARTITION BY run, row) AS top FROM s WHERE score > 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY run, row ORDER BY score DESC, place) AS n, max(score) OVER (PARTITION BY run, row) AS top FROM s WHERE score > 0),
 u AS (SELECT *, count(*) FILTER (score = top) OVER (PARTITION BY run, row) AS ties FROM t)
 SELECT run, row, claim, score::INT AS score FROM u WHERE n = 1 AND (ties = 1 OR score >= 60)""")
 def j15_claim_linkage(spark, d):
-    return linkage.best(linkage.match(*run_sides(spark, d)))
+    claims, rows = run_sides(spark, d)
+    return linkage.best(linkage.match(claims, rows), claims)
 
 
 @query("j16_material_overlap", f"""

@@ -265,11 +265,11 @@ def d4_claim_cards(spark, d):
 WITH c AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS place, lower({_SQUEEZE.format('text')}) AS b, ['r' || item_id % 30] AS refs, ['t' || item_id % 7] AS targets FROM benchmark),
 r AS (SELECT doc_id, doc_id % 50 + 1 AS place, lower({_SQUEEZE.format('text')}) AS b, ['r' || doc_id % 45] AS refs, ['t' || doc_id % 9] AS targets FROM documents),
 ct AS (SELECT *, {_CT.format('b')} AS t FROM c), rt AS (SELECT *, {_CT.format('b')} AS t FROM r),
-p AS (SELECT doc_id AS row, item_id AS claim, ct.b AS cb, rt.b AS rb, len(list_intersect(ct.t, rt.t)) AS o, least(len(ct.t), len(rt.t)) AS m, ct.targets = rt.targets AS tm, ct.refs = rt.refs AS rm, ct.place = rt.place AS pm,
+p AS (SELECT doc_id AS row, item_id::VARCHAR AS claim, ct.place, ct.b AS cb, rt.b AS rb, len(list_intersect(ct.t, rt.t)) AS o, least(len(ct.t), len(rt.t)) AS m, ct.targets = rt.targets AS tm, ct.refs = rt.refs AS rm, ct.place = rt.place AS pm,
       sum((ct.refs = rt.refs)::INT) OVER (PARTITION BY doc_id) AS nr FROM ct, rt),
-s AS (SELECT row, claim, CASE WHEN rb = '' THEN 0 WHEN cb = rb THEN 100 WHEN contains(cb, rb) OR contains(rb, cb) THEN 90 WHEN cb <> '' AND contains(rb, substr(cb, 1, 80)) THEN 80 WHEN m = 0 THEN 0
+s AS (SELECT row, claim, place, CASE WHEN rb = '' THEN 0 WHEN cb = rb THEN 100 WHEN contains(cb, rb) OR contains(rb, cb) THEN 90 WHEN cb <> '' AND contains(rb, substr(cb, 1, 80)) THEN 80 WHEN m = 0 THEN 0
       WHEN o / m >= 0.6 THEN 70 WHEN o / m >= 0.35 THEN 45 WHEN o / m >= 0.2 THEN 20 ELSE 0 END + 45 * tm::INT + 15 * (rm AND nr = 1)::INT + 8 * pm::INT AS score FROM p),
-t AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, claim) AS n, max(score) OVER (PARTITION BY row) AS top FROM s WHERE score > 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, place) AS n, max(score) OVER (PARTITION BY row) AS top FROM s WHERE score > 0),
 u AS (SELECT *, count(*) FILTER (score = top) OVER (PARTITION BY row) AS ties FROM t)
 SELECT row, claim, score::INT AS score FROM u WHERE n = 1 AND (ties = 1 OR score >= 60)""")
 def f19_find_claim(spark, d):
@@ -277,7 +277,7 @@ def f19_find_claim(spark, d):
     tag = (lambda name, c, n: F.array(F.concat(F.lit(name), (F.col(c) % n).cast("string"))))
     items = read(spark, d, "benchmark").select(run, F.col("item_id").alias("pos"), F.col("text").alias("body"), "item_id", tag("r", "item_id", 30).alias("refs"), tag("t", "item_id", 7).alias("targets"))
     places = deliberation.claim_cards(items.select(F.col("run").cast("string").alias("run"), "pos", F.col("item_id").cast("string").alias("body"), "refs")).select(F.col("body").cast("bigint").alias("item_id"), "place")
-    claims = items.join(F.broadcast(places), "item_id").select("run", F.col("item_id").alias("id"), "place", "body", "refs", "targets")
+    claims = items.join(places, "item_id").select("run", F.col("item_id").cast("string").alias("id"), "place", "body", "refs", "targets")
     rows = read(spark, d, "documents").select(run, F.col("doc_id").alias("id"), (F.col("doc_id") % 50 + 1).cast("int").alias("place"), F.col("text").alias("body"), tag("r", "doc_id", 45).alias("refs"), tag("t", "doc_id", 9).alias("targets"))
     return deliberation.find_claims(claims, rows).select("row", "claim", "score")
 

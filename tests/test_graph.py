@@ -197,7 +197,7 @@ def test_notes_skills_and_specs(spark, tmp_path):
 def test_linkage_and_routing(spark):
     claims = spark.createDataFrame([(1, 1, "The parser must reject unknown fields early"), (1, 2, "Cache invalidation happens nightly")], "run int, id int, body string")
     rows = spark.createDataFrame([(1, 7, "the parser must reject unknown fields early"), (1, 8, "invalidation of the cache happens"), (1, 9, "unrelated words only")], "run int, id int, body string")
-    got = {r["row"]: (r["claim"], r["score"]) for r in linkage.best(linkage.match(claims, rows)).collect()}
+    got = {r["row"]: (r["claim"], r["score"]) for r in linkage.best(linkage.match(claims, rows), claims.withColumn("place", F.col("id"))).collect()}
     assert got[7] == (1, 100) and got[8][0] == 2 and 9 not in got
     assert linkage.assign_once(linkage.match(claims, rows)).count() == 2
     cand = spark.createDataFrame([(1, 1, "never delete the archive without asking the owner first", ["r"], "keeps the archive intact")], "run int, id int, body string, refs array<string>, future string")

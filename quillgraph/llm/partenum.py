@@ -31,6 +31,8 @@ from . import shingles
 from .common import Scratch, apart, components
 
 PERCENT, SKETCH, SLOTS, NEAREST = 80, 64, 4, 10
+#: Ids of texts up to which they are sent to every task (8 bytes each).
+BROADCAST = 1_000_000
 _CHUNK = 400_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -51,7 +53,7 @@ def differences(top: np.ndarray, percent: int) -> np.ndarray:
 def plan(k: int, fine: bool) -> tuple[int, int, int]:
     """(n1, n2, k2): parts, smaller parts of each, and how many of these a signature leaves out."""
     if fine:
-        return max(3 * k, 16), 1, 0
+        return max(6 * k, 16), 1, 0
     return (1, k + 3, k) if k <= 3 else (k // 2 + 1, 3, 1)
 
 
@@ -163,23 +165,37 @@ def _crowded(placed: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
 
 
 def _rest_pairs(crowded: DataFrame, comps: DataFrame, percent: int, pivots: bool, scratch: Scratch) -> DataFrame:
-    """Pairs of different components by fine signatures without each set's most frequent ones."""
+    """Pairs of different components by fine signatures without each set's most frequent ones.
+
+    Sets of sizes n and m differ in at most h = (n + m)(1 - t)/(1 + t) elements, and so in as
+    many parts; the rarest one they share is then among the h + 1 rarest of either.
+    """
     ks = [int(k) for k in differences(bands(percent), percent)]
     rows = scratch.table(_signed(_placed(crowded.drop("component"), comps), percent, True))
     # what one component holds alone is no way to another; it comes first in the order
     held = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig", "df")
     mine = Window.partitionBy("doc", "band")
-    parts, kept = (F.element_at(F.array(*[F.lit(v) for v in values]), F.col("band") + 1) for values in ([plan(k, True)[0] for k in ks], [k + 1 for k in ks]))
+    parts = F.element_at(F.array(*[F.lit(plan(k, True)[0]) for k in ks]), F.col("band") + 1)
     place = parts - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "sig"))
-    index = scratch.table(rows.join(apart(held), "sig").select("*", place.alias("place")).where(F.col("place") <= kept).select("sig", "doc", "component", "n", "place"))
-    fits = (F.col("n") * 100 >= F.col("on") * percent) & (F.col("on") * 100 >= F.col("n") * percent) & (F.col("component") != F.col("oc"))
+
+    def most(n, m):
+        """How many elements sets of these sizes can differ in."""
+        return F.floor((n + m) * (100 - percent) / (100 + percent))
+
+    kept = most(F.col("n"), F.floor(F.col("n") * 100 / percent)) + 1
+    index = rows.join(apart(held), "sig").select("*", place.alias("place"), F.sum("df").over(mine).alias("central"))
+    index = scratch.table(index.where(F.col("place") <= kept).select("sig", "doc", "component", "n", "place", "central"))
+    fits = ((F.col("n") * 100 >= F.col("on") * percent) & (F.col("on") * 100 >= F.col("n") * percent) & (F.col("component") != F.col("oc"))
+            & (F.greatest("place", "op") <= most(F.col("n"), F.col("on")) + 1))
     if pivots:
-        firsts = index.groupBy("sig").agg(F.min(F.struct("n", "doc", "component")).alias("p")).select("sig", F.col("p.n").alias("on"), F.col("p.doc").alias("other"), F.col("p.component").alias("oc"))
+        # the set that shares most with others is the likeliest partner of each
+        firsts = index.groupBy("sig").agg(F.max_by(F.struct("n", "doc", "component", "place"), F.struct("central", F.xxhash64("doc"))).alias("p")).select(
+            "sig", F.col("p.n").alias("on"), F.col("p.doc").alias("other"), F.col("p.component").alias("oc"), F.col("p.place").alias("op"))
         met = index.join(apart(firsts), "sig").where(fits)
         ordered = F.transform(F.array_sort(F.collect_set(F.struct("place", "other"))), lambda r: r["other"])  # as many as the set has parts at most
         few = met.groupBy("doc").agg(F.slice(F.array_distinct(ordered), 1, NEAREST).alias("others"))
         return _ordered(few.select("doc", F.explode("others").alias("other")))
-    other = index.select("sig", F.col("doc").alias("other"), F.col("n").alias("on"), F.col("component").alias("oc"))
+    other = index.select("sig", F.col("doc").alias("other"), F.col("n").alias("on"), F.col("component").alias("oc"), F.col("place").alias("op"))
     return _ordered(index.join(other, "sig").where(fits & (F.col("doc") < F.col("other"))).select("doc", "other"))
 
 
@@ -200,8 +216,9 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = scratch.table(texts.mapInArrow(shingles.sketches(SKETCH), "doc_id bigint, n bigint, f1 bigint, f2 bigint, sketch array<bigint>"))
     same = ["f1", "f2", "n"]
     classes = scratch.table(rows.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
-    some = _candidates(classes, scratch).select(F.col("doc").alias("doc_id"))
-    full = scratch.table(texts.join(apart(some), "doc_id", "left_semi").mapInArrow(shingles.sets, "doc_id bigint, shingles array<bigint>")
+    some = scratch.table(_candidates(classes, scratch).select(F.col("doc").alias("doc_id")))
+    few = F.broadcast(some) if some.count() <= BROADCAST else apart(some)
+    full = scratch.table(texts.join(few, "doc_id", "left_semi").mapInArrow(shingles.sets, "doc_id bigint, shingles array<bigint>")
                          .select(F.col("doc_id").alias("doc"), F.size("shingles").cast("bigint").alias("n"), "shingles"))
     pairs = scratch.table(_pivot_pairs(full, percent))
     comps = components(_links(pairs, classes, full, percent, scratch), scratch)

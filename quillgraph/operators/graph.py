@@ -90,45 +90,3 @@ def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
         frontier = new.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("depth"))
         seen = seen.unionByName(frontier)
     return seen
-
-
-def neighbourhood(nodes: DataFrame, edges: DataFrame, root: str, depth: int, max_nodes: int, max_edges: int, allowed: Column | None = None,
-                  kinds: list[str] | None = None, least: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """(id, depth) and (id) of a bounded breadth-first walk from ``root``.
-
-    Levels are processed in order of the frontier and edge id.  An edge counts
-    first and is taken back if its node does not fit.  Nodes that are not
-    ``allowed`` are invisible.  The walk holds at most ``max_nodes`` and
-    ``max_edges`` rows.
-    """
-    spark = nodes.sparkSession
-    visible = nodes.where(allowed) if allowed is not None else nodes
-    steps = both_ways(filter_edges(edges, kinds, least))
-    found, used, order = {root: 0}, {}, [root]
-    for level in range(1, max(0, min(6, depth)) + 1):
-        front = spark.createDataFrame([(n, i) for i, n in enumerate(order)], "src string, pos int")
-        events = steps.join(F.broadcast(front), "src").join(visible.select(F.col("id").alias("dst")), "dst", "left_semi")
-        order, at = [], None
-        while len(used) < max_edges:
-            # pages in order; once the nodes are full, only edges between known ones
-            full = len(found) >= max_nodes
-            page = events.where(F.col("dst").isin(*found)) if full else events
-            if at:
-                page = page.where((F.col("pos") > at[0]) | ((F.col("pos") == at[0]) & (F.col("id") > at[1])))
-            size = 2 * max_edges + 2
-            rows = page.orderBy("pos", "id").select("pos", "id", "dst").limit(size).collect()
-            for r in rows:
-                at = (r["pos"], r["id"])
-                if r["id"] in used or len(used) >= max_edges:
-                    continue
-                if r["dst"] not in found:
-                    if len(found) >= max_nodes:
-                        continue
-                    found[r["dst"]] = level
-                    order.append(r["dst"])
-                used[r["id"]] = True
-            if len(rows) < size:
-                break
-        if not order:
-            break
-    return spark.createDataFrame(list(found.items()), "id string, depth int"), spark.createDataFrame([(e,) for e in used], "id string")

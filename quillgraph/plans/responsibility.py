@@ -1,23 +1,26 @@
 """Responsibility plans: seeds, a budgeted walk, units and what was left out.
 
-The walk goes level by level.  A level's events are joins of the frontier with
-the edges, read in pages of what the budgets can still take; the driver decides
-page by page.  Only the plan itself, whose size its budgets bound, is ever held;
-what was left out stays a DataFrame.
+The walk goes level by level.  A level's events are one join of the frontier with the
+edges.  Firsts of edges and nodes are aggregates; the new nodes and edges that budgets can take
+are the first so many of an order, and only these rows, whose number the budgets bound, reach
+the driver.  What was left out stays a DataFrame, labelled by where it lies in the order.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import graph as g
-from ..operators.search import lexical_score
+from ..operators import walk
+from ..operators.search import lexical_score, search
 
 SEED_KINDS = ("memory", "session", "skill")
+#: What a request finds, and what stands in where nothing is found.
+FALLBACK_KINDS = (*SEED_KINDS, "source_document")
 
 
 @dataclass(frozen=True)
@@ -48,7 +51,7 @@ def seeds(nodes: DataFrame, request: str, limits: Limits, explicit: list[str] =
         rows = rows.withColumn("changed", F.lit(False))
     rows = rows.withColumn("changed", F.col("changed") & ((F.lit(not words)) | (F.col("lexical") > 0)))
     score = F.col("lexical") * 100 + F.when(F.col("explicit"), 10000).otherwise(0) + F.when(F.col("changed"), 20).otherwise(0)
-    reasons = F.array_compact(F.array(F.when(F.col("lexical") > 0, "lexical-match"), F.when(F.col("explicit"), "explicit"), F.when(F.col("changed"), "changed")))
+    reasons = F.array_compact(F.array(F.when(F.col("explicit"), "explicit-id"), F.when(F.col("changed"), "changed-source"), F.when(F.col("lexical") > 0, "lexical-match")))
     found = rows.where(F.col("explicit") | F.col("kind").isin(*SEED_KINDS)).select("id", score.alias("score"), reasons.alias("reasons")).where("score > 0")
     return found.orderBy(F.desc("score"), "id").limit(min(5, limits.nodes))
 
@@ -60,6 +63,7 @@ class Plan:
     exclusions: DataFrame  # reason, node, edge
     units: DataFrame       # unit_key, depth, seed, nodes
     exhausted: dict[str, bool]
+    seeds: DataFrame       # id, score, reasons, in order
 
 
 def _after(at: tuple[int, str]):
@@ -67,15 +71,17 @@ def _after(at: tuple[int, str]):
     return (F.col("pos") > at[0]) | ((F.col("pos") == at[0]) & (F.col("id") > at[1]))
 
 
-def build(nodes: DataFrame, edges: DataFrame, request: str, scope: str, project: str | None, now: str, limits: Limits = Limits(), explicit: list[str] = (), changed: DataFrame | None = None) -> Plan:
-    """The plan for a request.  ``nodes`` has id, kind, scope, project, label, content, metadata, modified."""
+def build(nodes: DataFrame, edges: DataFrame | walk.Adjacency, request: str, scope: str, project: str | None, now: str, limits: Limits = Limits(), explicit: list[str] = (), changed: DataFrame | None = None) -> Plan:
+    """The plan for a request.  ``nodes`` has id, kind, scope, project, label, content, metadata, modified; a null content is a node without a revision."""
     spark = nodes.sparkSession
     seen = nodes.select("*", g.eligible(scope, project).alias("in_scope"), g.fresh(F.col("modified"), now, limits.days).alias("is_fresh"), F.coalesce(F.length("content"), F.lit(-1)).alias("size"))
-    found = seeds(seen.where("in_scope and is_fresh"), request, limits, explicit, changed)
-    first = [(r["id"], r["score"]) for r in found.collect()]
-    if not first:
-        low = seen.where("in_scope and is_fresh").agg(F.min("id")).first()[0]
-        first = [(low, 0)] if low else []
+    able = seen.where("in_scope and is_fresh and size >= 0")
+    found = seeds(able, request, limits, explicit, changed)
+    first = [(r["id"], r["score"], r["reasons"]) for r in found.collect()]
+    if not first and limits.nodes > 0:
+        low = able.where(F.col("kind").isin(*FALLBACK_KINDS)).agg(F.min("id")).first()[0]
+        first = [(low, 1, ["deterministic-fallback"])] if low else []
+    start = spark.createDataFrame(first, "id string, score int, reasons array<string>")
     picked: dict[str, tuple] = {}
     used: dict[str, int] = {}
     left_out: set[tuple] = set()
@@ -105,78 +111,76 @@ def build(nodes: DataFrame, edges: DataFrame, request: str, scope: str, project:
             return no("token-budget", "tokens")
         chars = min(info["size"], room["chars"], 4 * room["tokens"])
         if chars < info["size"]:
-            flags["chars" if room["chars"] <= 4 * room["tokens"] else "tokens"] = True
+            flags["chars"] |= chars == room["chars"]
+            flags["tokens"] |= chars == 4 * room["tokens"]
         cost = max(1, -(-chars // 4))
         room["chars"] -= chars
         room["tokens"] -= cost
         picked[node] = (depth, chars, cost, seed)
         return True
 
-    facts = {r["id"]: r.asDict() for r in seen.join(F.broadcast(spark.createDataFrame([(x,) for x, _ in first], "id string")), "id").select("id", "in_scope", "is_fresh", "size").collect()} if first else {}
-    for node, _ in first:
+    facts = {r["id"]: r.asDict() for r in seen.join(F.broadcast(spark.createDataFrame([(x[0],) for x in first], "id string")), "id").select("id", "in_scope", "is_fresh", "size").collect()} if first else {}
+    for node, *_ in first:
         admit(node, facts[node], 0, None, True)
     order = list(picked)
-    steps = g.both_ways(edges)
+    adjacency = edges if isinstance(edges, walk.Adjacency) else walk.Adjacency.of(edges)
     parts = []
+
+    def full() -> bool:
+        return len(picked) >= limits.nodes or room["chars"] <= 0 or room["tokens"] <= 0
+
     for level in range(limits.hops + 1):
         if not order:
             break
-        front = F.broadcast(spark.createDataFrame([(n, i) for i, n in enumerate(order)], "src string, pos int"))
-        events = steps.join(front, "src")
+        events = adjacency.around(order)
         kind_ok = F.col("kind").isin(*limits.kinds) if limits.kinds is not None else F.lit(True)
         fit = kind_ok & (F.col("confidence") >= limits.confidence)
         reason = F.when(~kind_ok, "edge-kind-filter").otherwise("confidence-filter")
-        parts.append(events.where(~fit).select(reason.alias("reason"), F.col("dst").alias("node"), F.col("id").alias("edge")))
+        parts.append(events.where(~fit).select(reason.alias("reason"), F.lit(None).cast("string").alias("node"), F.col("id").alias("edge")))
         if level == limits.hops:
             over = events.where(fit).select(F.lit("hop-limit").alias("reason"), F.col("dst").alias("node"), F.col("id").alias("edge"))
             flags["hops"] = not over.isEmpty()
             parts.append(over)
             break
-        # kind and confidence first; then each edge's first event, in order
-        w = Window.partitionBy("id").orderBy("pos")
-        fresh = events.where(fit).select("*", F.row_number().over(w).alias("n")).where("n = 1")
+        # kind and confidence first; of edges not yet walked each one's first event counts
+        raw = events.where(fit)
         if used:
-            fresh = fresh.join(F.broadcast(spark.createDataFrame([(e,) for e in used], "id string")), "id", "left_anti")
-        info = seen.select(F.col("id").alias("dst"), "in_scope", "is_fresh", "size")
-        fresh = fresh.join(info, "dst")
-        able = F.col("in_scope") & F.col("is_fresh") & (F.col("size") >= 0)
-        order, at, closed = [], None, None
-        while len(used) < limits.edges:
-            # only what can be taken: known nodes, and admissible ones as long as the budgets are open
-            full = len(picked) >= limits.nodes or room["chars"] <= 0 or room["tokens"] <= 0
-            if full and closed is None:
-                closed = at or (-1, "")
-            known = F.col("dst").isin(*picked)
-            page = fresh.where(known if full else known | able)
-            size = limits.edges - len(used)
-            rows = (page.where(_after(at)) if at else page).orderBy("pos", "id").limit(size).collect()
-            stopped = False
-            for r in rows:
-                new = r["dst"] not in picked
-                if new and (len(picked) >= limits.nodes or room["chars"] <= 0 or room["tokens"] <= 0):
-                    stopped = True
+            raw = raw.join(F.broadcast(spark.createDataFrame([(e,) for e in used], "id string")), "id", "left_anti")
+        raw = raw.join(seen.select(F.col("id").alias("dst"), "in_scope", "is_fresh", "size"), "dst")
+        fresh = raw.groupBy("id").agg(F.min(F.struct("pos", "dst", "in_scope", "is_fresh", "size")).alias("e")).select("id", "e.*")
+        able, known = F.col("in_scope") & F.col("is_fresh") & (F.col("size") >= 0), F.col("dst").isin(*picked)
+        closed, chosen = (-1, "") if full() else None, []
+        if not full():
+            # new nodes in order of their first event, until the budgets are used up
+            new = fresh.where(able & ~known).groupBy("dst").agg(F.min(F.struct("pos", "id")).alias("at"), F.first("size").alias("size"))
+            left = dict(room)
+            for r in new.orderBy("at").limit(limits.nodes - len(picked)).collect():
+                if left["chars"] <= 0 or left["tokens"] <= 0:
                     break
+                chosen.append(r["dst"])
+                chars = min(r["size"], left["chars"], 4 * left["tokens"])
+                left["chars"], left["tokens"] = left["chars"] - chars, left["tokens"] - max(1, -(-chars // 4))
+        free = limits.edges - len(used)
+        rows = fresh.where(known | F.col("dst").isin(*chosen)).orderBy("pos", "id").limit(free).collect() if free > 0 else []
+        order = []
+        for r in rows:
+            if r["dst"] not in picked:
                 admit(r["dst"], r.asDict(), level + 1, r["id"], False)
-                used[r["id"]] = level + 1
-                at = (r["pos"], r["id"])
-                if new:
-                    order.append(r["dst"])
-                    if len(picked) >= limits.nodes or room["chars"] <= 0 or room["tokens"] <= 0:
-                        stopped = True
-                        break
-            if not stopped and len(rows) < size:
-                break
-        if closed is None and (len(picked) >= limits.nodes or room["chars"] <= 0 or room["tokens"] <= 0):
-            closed = at or (-1, "")
-        spent = _after(at or (-1, "")) if len(used) >= limits.edges else F.lit(False)
+                order.append(r["dst"])
+                if full():
+                    closed = (r["pos"], r["id"])
+            used[r["id"]] = level + 1
+        last = (rows[-1]["pos"], rows[-1]["id"]) if rows else (-1, "")
+        spent = _after(last) if len(used) >= limits.edges else F.lit(False)
         shut = _after(closed) if closed else F.lit(False)
         nodes_shut = shut if len(picked) >= limits.nodes else F.lit(False)
         why = F.when(spent, "edge-budget").when(nodes_shut, "node-budget").when(~F.col("in_scope"), "scope-mismatch").when(F.col("size") < 0, "missing-revision").when(
             ~F.col("is_fresh"), "freshness-limit").when(shut & F.lit(room["chars"] <= 0), "character-budget").otherwise("token-budget")
         taken = F.broadcast(spark.createDataFrame([(e,) for e in used], "id string"))
-        rest = fresh.join(taken, "id", "left_anti").select(why.alias("reason"), F.col("dst").alias("node"), F.col("id").alias("edge"))
+        # every event of an edge that was not walked has its own record
+        rest = raw.join(taken, "id", "left_anti").select(why.alias("reason"), F.col("dst").alias("node"), F.col("id").alias("edge"))
         parts.append(rest)
-        met = {r["reason"] for r in rest.select("reason").distinct().collect()}
+        met = {r["reason"] for r in rest.select("reason").distinct().collect()}  # ten at most
         for flag, name in (("nodes", "node"), ("edges", "edge"), ("chars", "character"), ("tokens", "token")):
             flags[flag] |= f"{name}-budget" in met
     chosen = spark.createDataFrame([(n, *v) for n, v in picked.items()], "id string, depth int, chars int, tokens int, seed boolean")
@@ -185,7 +189,49 @@ def build(nodes: DataFrame, edges: DataFrame, request: str, scope: str, project:
     for part in parts:
         out = out.unionByName(part)
     out = out.distinct().orderBy("reason", "node", "edge")
-    return Plan(chosen.orderBy("depth", "id"), edge_rows.orderBy("id"), out, units(chosen, nodes), flags)
+    return Plan(chosen.orderBy("depth", "id"), edge_rows.orderBy("id"), out, units(chosen, nodes), flags, start)
+
+
+@dataclass
+class Retrieval:
+    plan: Plan
+    nodes: DataFrame  # the hydrated nodes
+    candidates: int   # nodes that the request and the ids named
+    hydrated_nodes: int
+    hydrated_edges: int
+
+
+def plan(nodes: DataFrame, adjacency: walk.Adjacency, request: str, scope: str, project: str | None, now: str, limits: Limits = Limits(), explicit: list[str] = (), changed: DataFrame | None = None) -> Retrieval:
+    """The plan for a request from a stored graph, of which only candidates and what lies around them are read.
+
+    Candidates are the best hits of the request, ids named, and changed nodes; if there is none, the first
+    visible node.  Their seeds are hydrated: a walk over all kinds of edges that takes eight times the
+    plan's budgets at most.  The plan is then made of these nodes and edges alone.
+    """
+    spark = nodes.sparkSession
+    most = max(16, min(1000, 4 * limits.nodes))
+    pool = nodes.where(g.eligible(scope, project) & F.col("kind").isin(*FALLBACK_KINDS))
+    named = spark.createDataFrame([(x,) for x in explicit], "id string")
+    ids = search(pool, request, most).select("id").unionByName(nodes.join(F.broadcast(named), "id", "left_semi").select("id"))
+    if changed is not None:
+        ids = ids.unionByName(nodes.join(changed.select("id"), "id", "left_semi").select("id"))
+    known = [r["id"] for r in ids.distinct().orderBy("id").collect()]  # at most ``most`` hits, besides what the request itself names
+    if not known:
+        low = pool.agg(F.min("id")).first()[0]
+        known = [low] if low is not None else []
+
+    def only(wanted: list[str]) -> DataFrame:
+        return nodes.join(F.broadcast(spark.createDataFrame([(x,) for x in wanted], "id string")), "id", "left_semi")
+
+    none = walk.Adjacency(adjacency.steps.where(F.lit(False)), adjacency.buckets)
+    first = build(only(known), none, request, scope, project, now, replace(limits, edges=0, hops=0), explicit, changed)
+    seeds_ = [r["id"] for r in first.seeds.collect()]
+    found = walk.hydrate(nodes, adjacency, known, seeds_, limits.hops, max(100, min(4000, 8 * limits.nodes)), max(200, min(12_000, 8 * limits.edges)))
+    some = only(list(found.nodes))
+    taken = F.broadcast(spark.createDataFrame([(e,) for e in found.edges], "id string"))
+    near = walk.Adjacency(adjacency.steps.join(taken, "id", "left_semi"), adjacency.buckets)
+    final = build(some, near, request, scope, project, now, limits, explicit, changed)
+    return Retrieval(final, some, len(known), len(found.nodes), len(found.edges))
 
 
 def units(chosen: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import identity, text
-from .operators import checks, evaluation, folds, graph, journal, linkage, search, sync
+from .operators import checks, evaluation, folds, graph, journal, linkage, search, sync, walk
 from .plans import responsibility
 from .sources import sessions
 
@@ -413,17 +415,49 @@ def t4_recency(spark, d):
 
 # --- what SQL can't tell --------------------------------------------------------------------------
 
+def key_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The key graph's nodes, with columns that a plan needs, and its edges; every tenth customer is stale."""
+    e = key_edges(spark, d)
+    ids = e.select(F.col("source_node_id").alias("id")).union(e.select("target_node_id")).distinct()
+    age = F.when(F.col("id").rlike("^c[0-9]*0$"), "2020-01-01T00:00:00Z")
+    none = F.lit(None).cast("string")
+    return ids.select("id", F.lit("memory").alias("kind"), F.lit("global").alias("scope"), none.alias("project"), F.col("id").alias("label"), F.col("id").alias("content"), F.lit("{}").alias("metadata"), age.alias("modified")), e
+
+
 @query("g6_plan")
 def g6_plan(spark, d):
-    """A plan over the key graph from one explicit seed."""
-    e = key_edges(spark, d)
-    nodes = e.select(F.col("source_node_id").alias("id")).union(e.select("target_node_id")).distinct().select(
-        "id", F.lit("memory").alias("kind"), F.lit("global").alias("scope"), F.lit(None).cast("string").alias("project"), F.col("id").alias("label"), F.col("id").alias("content"), F.lit("{}").alias("metadata"), F.lit(None).cast("string").alias("modified"))
-    return responsibility.build(nodes, e, "", "global", None, "2026-01-01T00:00:00Z", explicit=["n3"]).nodes
+    """A plan over the key graph from one explicit seed: its nodes and edges, and how many were left out for each reason."""
+    nodes, e = key_graph(spark, d)
+    p = responsibility.build(nodes, e, "", "global", None, "2026-01-01T00:00:00Z", responsibility.Limits(days=365), explicit=["n3"])
+    none = F.lit(None).cast("int")
+    return p.nodes.select(F.lit("node").alias("what"), "id", "depth").unionByName(p.edges.select(F.lit("edge").alias("what"), "id", "depth")).unionByName(
+        p.exclusions.groupBy(F.lit("excluded").alias("what"), F.col("reason").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("depth")))
 
 
 @query("g4_neighbourhood")
 def g4_neighbourhood(spark, d):
-    e = key_edges(spark, d)
-    nodes = e.select(F.col("source_node_id").alias("id")).union(e.select("target_node_id")).distinct()
-    return graph.neighbourhood(nodes, e, "n3", 2, 100, 300)[0]
+    """Nodes and edges around a nation within three steps, and what was cut."""
+    nodes, e = key_graph(spark, d)
+    found = walk.neighbourhood(nodes, e, "n3", 3, 200, 300)
+    cut = spark.createDataFrame([(k, int(v)) for k, v in found.truncated.items()], "id string, depth int")
+    return found.nodes.select(F.lit("node").alias("what"), "id", "depth").unionByName(found.edges.select(F.lit("edge").alias("what"), "id", F.lit(None).cast("int").alias("depth"))).unionByName(
+        cut.select(F.lit("truncated").alias("what"), "id", "depth"))
+
+
+@query("g5_hydrate", f"""
+WITH RECURSIVE e AS (SELECT src || '>' || dst AS id, src, dst FROM ({_EDGES})),
+s AS (SELECT id, src, dst FROM e UNION SELECT id, dst, src FROM e),
+l1 AS (SELECT id, dst, row_number() OVER (ORDER BY id) AS p FROM s WHERE src = 'r1' ORDER BY id LIMIT 12000),
+l2 AS (SELECT s.id, s.dst, l1.p, row_number() OVER (ORDER BY l1.p, s.id) AS n FROM s JOIN l1 ON s.src = l1.dst WHERE s.id NOT IN (SELECT id FROM l1)),
+x2 AS (SELECT * FROM l2 WHERE n <= 12000 - (SELECT count(*) FROM l1)),
+f AS (SELECT dst, min(n) AS n FROM x2 GROUP BY dst),
+nn AS (SELECT dst AS id, 2 AS depth FROM f QUALIFY row_number() OVER (ORDER BY n) <= 4000 - 1 - (SELECT count(*) FROM l1))
+SELECT 'node' AS what, 'r1' AS id, 0 AS depth UNION ALL SELECT 'node', dst, 1 FROM l1 UNION ALL SELECT 'node', id, depth FROM nn
+UNION ALL SELECT 'edge', id, NULL FROM l1 UNION ALL SELECT 'edge', id, NULL FROM x2""")
+def g5_hydrate(spark, d):
+    """What a plan from one region may need, from a graph laid out in buckets: nodes with their depth, and edges."""
+    nodes, e = key_graph(spark, d)
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    stored = walk.Adjacency.write(e, f"{base.rstrip('/')}/adjacency-{uuid.uuid4().hex}", 32)
+    found = walk.hydrate(nodes, stored, ["r1"], ["r1"], 2, 4000, 12_000)
+    return spark.createDataFrame([("node", *x) for x in found.nodes.items()] + [("edge", x, None) for x in found.edges], "what string, id string, depth int")

@@ -124,12 +124,8 @@ def test_plan_budgets(spark):
     assert sum(len(r["text"]) for r in responsibility.context(p, nodes, 120).collect()) == 120
 
 
-def test_neighbourhood_limits(spark):
+def test_reach(spark):
     e = spark.createDataFrame([(f"e{i}", "r", f"n{i}", "SUPPORTS", 1.0) for i in range(8)], "id string, source_node_id string, target_node_id string, kind string, confidence double")
-    nodes = spark.createDataFrame([(f"n{i}",) for i in range(8)] + [("r",)], "id string")
-    n, k = graph.neighbourhood(nodes, e, "r", 2, 4, 30)
-    assert n.count() == 4 and k.count() == 3
-    assert graph.neighbourhood(nodes, e, "r", 2, 100, 5)[1].count() == 5
     assert graph.reach(e, spark.createDataFrame([("n1",)], "id string"), 2).count() == 9
 
 
@@ -150,13 +146,6 @@ def test_plan_sees_all_edges_of_a_hub(spark):
     assert {r["reason"]: r["count"] for r in reasons} == {"freshness-limit": 1300, "hop-limit": 3}
 
 
-def test_neighbourhood_sees_all_edges_of_a_hub(spark):
-    nodes, e = hub(spark, 60)
-    e = e.unionByName(e.where("id = 'e00000'").withColumn("id", F.lit("f9")))
-    found, used = graph.neighbourhood(nodes, e, "n0", 1, 2, 4)
-    assert {r["id"] for r in found.collect()} == {"n0", "n3"} and {r["id"] for r in used.collect()} == {"e00000", "f9"}
-
-
 def line(kind, **payload):
     return json.dumps({"timestamp": "2026-07-01T00:00:00Z", "type": kind, "payload": payload})
 

@@ -8,13 +8,14 @@
    band, and for the next if partners can lie there.
 3. PartEnum for k: the domain is split into n1 parts, so one of them holds at most k2
    of the differences; that part is split into n2 smaller ones, and each choice of n2 - k2
-   of them is a signature.  The sets agree on one at least.  No link is lost.
+   of them is a signature.  Up to three differences have one part and all choices; from four on
+   there are n1 = k + m parts with one signature each, of which m at least agree.  No link is lost.
 4. Classes that share a signature meet the list's pivots (the smallest id of each slot),
    so a group of n copies costs O(n) pairs; full sets decide, links make components.
-5. What lists still hold of different components is signed anew by more and smaller
-   parts: of n1 = k + m parts m at least agree, so the m - 1 most frequent signatures of
-   a set may go, and with them empty parts and common passages.  Sets meet a few pivots
-   by what is left, then all others of other components.
+5. Sets of which m signatures or more are still shared with other components are signed anew by more and smaller
+   parts, of which the most frequent may go as long as one that partners share is left; and with
+   them go empty parts and common passages.  Sets meet a few pivots by what is left, those that
+   share most with others, then all of other components.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .common import Scratch, apart, components
 PERCENT, SKETCH, SLOTS, NEAREST = 80, 64, 4, 10
 #: Ids of texts up to which they are sent to every task (8 bytes each).
 BROADCAST = 1_000_000
+#: Differences up to which subsets of one part's smaller parts are enumerated.
+ENUMERATED = 3
 _CHUNK = 400_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -51,10 +54,20 @@ def differences(top: np.ndarray, percent: int) -> np.ndarray:
 
 
 def plan(k: int, fine: bool) -> tuple[int, int, int]:
-    """(n1, n2, k2): parts, smaller parts of each, and how many of these a signature leaves out."""
+    """(n1, n2, k2): parts, smaller parts of each, and how many of these a signature leaves out.
+
+    Few differences: one part, of whose k + 3 smaller ones all but k are chosen in each way.
+    More: parts that are signed whole, half as many again as there can be differences.
+    """
     if fine:
-        return max(6 * k, 16), 1, 0
-    return (1, k + 3, k) if k <= 3 else (k // 2 + 1, 3, 1)
+        return max(3 * k, 16), 1, 0
+    return (1, k + 3, k) if k <= ENUMERATED else (k + k // 2 + 1, 1, 0)
+
+
+def agreeing(k: int, fine: bool) -> int:
+    """How many signatures of a band two sets with at most k differences share at least."""
+    n1, _, k2 = plan(k, fine)
+    return 1 if k2 else n1 - k
 
 
 def sign(flat: np.ndarray, sizes: np.ndarray, percent: int, fine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,12 +169,26 @@ def _placed(full: DataFrame, comps: DataFrame) -> DataFrame:
     return full.join(apart(comps), F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("component"), "n", "shingles")
 
 
+def _most(n, m, percent: int):
+    """How many elements sets of these sizes can differ in."""
+    return F.floor((n + m) * (100 - percent) / (100 + percent))
+
+
+def _of_band(values: list[int]):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("band") + 1)
+
+
 def _crowded(placed: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Sets in lists that hold more than one component."""
-    signed = _signed(placed, percent, False).select("sig", "doc", "component")
+    """Sets of which as many signatures as partners must share lie in lists that hold more than one component."""
+    ks = [int(k) for k in differences(bands(percent), percent)]
+    signed = _signed(placed, percent, False)
     mixed = signed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    docs = signed.join(apart(mixed), "sig").select("doc").distinct()
-    return scratch.table(placed.join(docs, "doc", "left_semi"))
+    met = signed.join(apart(mixed), "sig").groupBy("doc", "n", "band").agg(F.count(F.lit(1)).alias("c"))
+    # a set of this size can't differ in as many elements as the largest of its band
+    spared = F.greatest(_of_band(ks) - _most(F.col("n"), F.floor(F.col("n") * 100 / percent), percent), F.lit(0))
+    need = _of_band([agreeing(k, False) for k in ks]) + F.when(_of_band(ks) > ENUMERATED, spared).otherwise(0)
+    docs = scratch.table(met.where(F.col("c") >= need).select("doc").distinct())
+    return scratch.table(placed.join(apart(docs), "doc", "left_semi"))
 
 
 def _rest_pairs(crowded: DataFrame, comps: DataFrame, percent: int, pivots: bool, scratch: Scratch) -> DataFrame:
@@ -175,18 +202,13 @@ def _rest_pairs(crowded: DataFrame, comps: DataFrame, percent: int, pivots: bool
     # what one component holds alone is no way to another; it comes first in the order
     held = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig", "df")
     mine = Window.partitionBy("doc", "band")
-    parts = F.element_at(F.array(*[F.lit(plan(k, True)[0]) for k in ks]), F.col("band") + 1)
-    place = parts - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "sig"))
-
-    def most(n, m):
-        """How many elements sets of these sizes can differ in."""
-        return F.floor((n + m) * (100 - percent) / (100 + percent))
+    place = _of_band([plan(k, True)[0] for k in ks]) - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "sig"))
 
-    kept = most(F.col("n"), F.floor(F.col("n") * 100 / percent)) + 1
+    kept = _most(F.col("n"), F.floor(F.col("n") * 100 / percent), percent) + 1
     index = rows.join(apart(held), "sig").select("*", place.alias("place"), F.sum("df").over(mine).alias("central"))
     index = scratch.table(index.where(F.col("place") <= kept).select("sig", "doc", "component", "n", "place", "central"))
     fits = ((F.col("n") * 100 >= F.col("on") * percent) & (F.col("on") * 100 >= F.col("n") * percent) & (F.col("component") != F.col("oc"))
-            & (F.greatest("place", "op") <= most(F.col("n"), F.col("on")) + 1))
+            & (F.greatest("place", "op") <= _most(F.col("n"), F.col("on"), percent) + 1))
     if pivots:
         # the set that shares most with others is the likeliest partner of each
         firsts = index.groupBy("sig").agg(F.max_by(F.struct("n", "doc", "component", "place"), F.struct("central", F.xxhash64("doc"))).alias("p")).select(

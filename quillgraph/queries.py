@@ -429,7 +429,6 @@ def g6_plan(spark, d):
     """A plan over the key graph from one explicit seed: its nodes and edges, and how many were left out for each reason."""
     nodes, e = key_graph(spark, d)
     p = responsibility.build(nodes, e, "", "global", None, "2026-01-01T00:00:00Z", responsibility.Limits(days=365), explicit=["n3"])
-    none = F.lit(None).cast("int")
     return p.nodes.select(F.lit("node").alias("what"), "id", "depth").unionByName(p.edges.select(F.lit("edge").alias("what"), "id", "depth")).unionByName(
         p.exclusions.groupBy(F.lit("excluded").alias("what"), F.col("reason").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("depth")))
 
@@ -440,7 +439,7 @@ def g4_neighbourhood(spark, d):
     nodes, e = key_graph(spark, d)
     found = walk.neighbourhood(nodes, e, "n3", 3, 200, 300)
     cut = spark.createDataFrame([(k, int(v)) for k, v in found.truncated.items()], "id string, depth int")
-    return found.nodes.select(F.lit("node").alias("what"), "id", "depth").unionByName(found.edges.select(F.lit("edge").alias("what"), "id", F.lit(None).cast("int").alias("depth"))).unionByName(
+    return found.nodes.select(F.lit("node").alias("what"), "id", "depth").unionByName(found.edges.select(F.lit("edge").alias("what"), "id", F.lit(-1).alias("depth"))).unionByName(
         cut.select(F.lit("truncated").alias("what"), "id", "depth"))
 
 
@@ -453,11 +452,11 @@ x2 AS (SELECT * FROM l2 WHERE n <= 12000 - (SELECT count(*) FROM l1)),
 f AS (SELECT dst, min(n) AS n FROM x2 GROUP BY dst),
 nn AS (SELECT dst AS id, 2 AS depth FROM f QUALIFY row_number() OVER (ORDER BY n) <= 4000 - 1 - (SELECT count(*) FROM l1))
 SELECT 'node' AS what, 'r1' AS id, 0 AS depth UNION ALL SELECT 'node', dst, 1 FROM l1 UNION ALL SELECT 'node', id, depth FROM nn
-UNION ALL SELECT 'edge', id, NULL FROM l1 UNION ALL SELECT 'edge', id, NULL FROM x2""")
+UNION ALL SELECT 'edge', id, -1 FROM l1 UNION ALL SELECT 'edge', id, -1 FROM x2""")
 def g5_hydrate(spark, d):
     """What a plan from one region may need, from a graph laid out in buckets: nodes with their depth, and edges."""
     nodes, e = key_graph(spark, d)
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
     stored = walk.Adjacency.write(e, f"{base.rstrip('/')}/adjacency-{uuid.uuid4().hex}", 32)
     found = walk.hydrate(nodes, stored, ["r1"], ["r1"], 2, 4000, 12_000)
-    return spark.createDataFrame([("node", *x) for x in found.nodes.items()] + [("edge", x, None) for x in found.edges], "what string, id string, depth int")
+    return spark.createDataFrame([("node", *x) for x in found.nodes.items()] + [("edge", x, -1) for x in found.edges], "what string, id string, depth int")

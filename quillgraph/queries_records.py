@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import deliberation, graph, records, search
+from .operators import deliberation, graph, records, search, sync
 from .plans import responsibility, snapshot, topics
 from .queries import _CT, _EDGES, _SQUEEZE, key_edges, query, read
 
@@ -38,7 +38,7 @@ def corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 _CORPUS = """
-d AS (SELECT doc_id AS pos, ['S', 'M', 'F'][doc_id % 3 + 1] AS st, doc_id % 5 AS k, 'doc://' || doc_id AS uri, text, 's' || doc_id % 23 AS sid, 'n' || doc_id % 50 || '.md' AS rel, lower(lang || doc_id % 4) AS skill,
+d AS (SELECT doc_id AS pos, ['S', 'M', 'F'][doc_id % 3 + 1] AS st, doc_id % 5 AS k, 'doc://' || doc_id AS uri, text, source, 's' || doc_id % 23 AS sid, 'n' || doc_id % 50 || '.md' AS rel, lower(lang || doc_id % 4) AS skill,
        CASE WHEN doc_id % 7 > 0 THEN '/p/' || source WHEN doc_id % 3 = 2 THEN '/p/src1' END AS place FROM documents),
 e AS (SELECT *, CASE k WHEN 0 THEN 'session:' || sid || ':responsibility:u' || pos WHEN 1 THEN 'session:' || sid WHEN 2 THEN 'skill:' || (SELECT lang FROM documents WHERE doc_id = pos) || pos % 4 ELSE 'document:' || rel END AS key FROM d),
 m AS (SELECT conv_id * 100 + turn AS id, conv_id AS c, turn AS t, 'n' || conv_id % 60 || '.md' AS path, conv_id * 10 + turn AS line, '/p/src' || conv_id % 4 AS place, 's' || conv_id % 30 AS thread,
@@ -52,33 +52,63 @@ rel AS (SELECT rel, arg_max(key, pos) AS key, arg_max(uri, pos) AS uri FROM e WH
 
 @query("g9_edges", f"""
 WITH {_CORPUS},
-x AS (SELECT 'session:' || sid AS source_key, 'project:{PROJECT}' AS target_key, 'APPLIES_TO_PROJECT' AS kind, 'session-scope' AS derivation FROM made WHERE place = '{PROJECT}'
-UNION ALL SELECT key, coalesce(prior, 'session:' || sid), 'DERIVED_FROM', 'responsibility-unit-session' FROM u
-UNION ALL SELECT key, 'project:{PROJECT}', 'APPLIES_TO_PROJECT', 'project-metadata' FROM e WHERE place = '{PROJECT}'
-UNION ALL SELECT key, 'project:{PROJECT}', 'APPLIES_TO_PROJECT', 'memory-project-scope' FROM k WHERE place = '{PROJECT}'
-UNION ALL SELECT k.key, 'evidence:' || path || ':' || line, 'DERIVED_FROM', 'memory-line-provenance' FROM k JOIN rel ON rel = path
-UNION ALL SELECT 'evidence:' || path || ':' || line, rel.key, 'DERIVED_FROM', 'evidence-document-provenance' FROM k JOIN rel ON rel = path
-UNION ALL SELECT k.key, ses.key, 'OBSERVED_IN_SESSION', 'thread-id-match' FROM k JOIN ses ON sid = thread
-UNION ALL SELECT DISTINCT k.key, e.key, 'REQUIRES_SKILL', 'explicit-skill-reference' FROM k JOIN e ON e.k = 2 AND e.skill = k.skill WHERE t % 3 <> 1)
-SELECT source_key, target_key, kind, 1.0::DOUBLE AS confidence, 'notes-' || derivation AS derivation FROM x""")
+x AS (SELECT 'session:' || sid AS source_key, 'project:{PROJECT}' AS target_key, 'APPLIES_TO_PROJECT' AS kind, 'session-scope' AS derivation, '{{"sessionId":"' || sid || '"}}' AS evidence FROM made WHERE place = '{PROJECT}'
+UNION ALL SELECT key, coalesce(prior, 'session:' || sid), 'DERIVED_FROM', 'responsibility-unit-session', '{{"sessionId":"' || sid || '","unitId":"u' || pos || '"}}' FROM u
+UNION ALL SELECT key, 'project:{PROJECT}', 'APPLIES_TO_PROJECT', 'project-metadata', '{{"uri":"' || uri || '","metadataField":"cwd"}}' FROM e WHERE place = '{PROJECT}'
+UNION ALL SELECT key, 'project:{PROJECT}', 'APPLIES_TO_PROJECT', 'memory-project-scope', '{{"memoryId":"' || id || '","projectPath":"' || place || '"}}' FROM k WHERE place = '{PROJECT}'
+UNION ALL SELECT k.key, 'evidence:' || path || ':' || line, 'DERIVED_FROM', 'memory-line-provenance', '{{"sourcePath":"' || path || '","line":' || line || '}}' FROM k JOIN rel ON rel = path
+UNION ALL SELECT 'evidence:' || path || ':' || line, rel.key, 'DERIVED_FROM', 'evidence-document-provenance', '{{"sourcePath":"' || path || '","line":' || line || '}}' FROM k JOIN rel ON rel = path
+UNION ALL SELECT k.key, ses.key, 'OBSERVED_IN_SESSION', 'thread-id-match', '{{"memoryId":"' || id || '","threadId":"' || thread || '"}}' FROM k JOIN ses ON sid = thread
+UNION ALL SELECT DISTINCT k.key, e.key, 'REQUIRES_SKILL', 'explicit-skill-reference', '{{"memoryId":"' || id || '","skillName":"' || substr(e.key, 7) || '"}}' FROM k JOIN e ON e.k = 2 AND e.skill = k.skill WHERE t % 3 <> 1)
+SELECT source_key, target_key, kind, 1.0::DOUBLE AS confidence, 'notes-' || derivation AS derivation, evidence FROM x""")
 def g9_edges(spark, d):
-    return snapshot.edges(*corpus(spark, d), PROJECT)
+    return snapshot.edges(*corpus(spark, d), PROJECT).select("source_key", "target_key", "kind", "confidence", "derivation", F.col("evidence_refs")[0].alias("evidence"))
 
 
-@query("g9_items", f"""
-WITH {_CORPUS},
-x AS (SELECT 'project:{PROJECT}' AS source_key, 'project' AS kind, 'project' AS scope, '{PROJECT}' AS project, 'src1' AS label, '{PROJECT}' AS content, NULL AS uri, 0 AS step, -1 AS place_in
+_ITEMS = f"""
+x AS (SELECT 'project:{PROJECT}' AS source_key, 'project' AS kind, 'project' AS scope, '{PROJECT}' AS project, 'src1' AS label, '{PROJECT}' AS content, NULL AS uri, '{{"path":"{PROJECT}"}}' AS metadata, 0 AS step, -1 AS place_in
 UNION ALL SELECT key, CASE k WHEN 1 THEN 'session' WHEN 2 THEN 'skill' ELSE 'source_document' END, CASE WHEN k = 2 THEN 'global' WHEN place IS NOT NULL THEN 'project' WHEN k <> 1 AND st = 'M' THEN 'corpus' ELSE 'global' END, place,
-  CASE k WHEN 0 THEN 'Responsibility ' || sid WHEN 1 THEN 'Session ' || sid WHEN 2 THEN '$' || substr(key, 7) ELSE rel END, text, uri, 1, pos FROM e
-UNION ALL SELECT 'session:' || sid, 'session', (SELECT arg_min(CASE WHEN place IS NOT NULL THEN 'project' WHEN st = 'M' THEN 'corpus' ELSE 'global' END, pos) FROM u WHERE u.sid = made.sid AND prior IS NULL), place, 'Session ' || sid, 'Session ' || sid || ' responsibility-unit index.', 'session://' || sid, 1, -1 FROM made
-UNION ALL SELECT key, 'memory', CASE WHEN t % 2 = 0 THEN 'global' ELSE 'project' END, place, b, b, 'memory://' || path || CASE WHEN line <> 0 THEN '#L' || line ELSE '' END, 2, id FROM (SELECT *, 'Use $' || upper(skill) || CASE t % 3 WHEN 0 THEN ', then stop' WHEN 1 THEN 'x instead' ELSE '' END AS b FROM k)
-UNION ALL SELECT 'evidence:' || path || ':' || line, 'evidence', CASE WHEN t % 2 = 0 THEN 'global' ELSE 'project' END, place, path || CASE WHEN line <> 0 THEN ':' || line ELSE '' END, b, rel.uri || CASE WHEN line <> 0 THEN '#L' || line ELSE '' END, 2, id
+  CASE k WHEN 0 THEN 'Responsibility ' || sid WHEN 1 THEN 'Session ' || sid WHEN 2 THEN '$' || substr(key, 7) ELSE rel END, text, uri,
+  '{{' || CASE WHEN k < 2 THEN '"sessionId":"' || sid || '",' ELSE '' END || '"unitId":"u' || pos || '",' || CASE WHEN k > 2 THEN '"relPath":"' || rel || '",' WHEN k = 2 THEN '"skillName":"' || substr(key, 7) || '",' ELSE '' END ||
+  CASE WHEN pos % 7 > 0 THEN '"cwd":"/p//' || source || '/",' ELSE '' END || '"sourceSet":"' || st || '","role":"' || ['session-unit', 'session-summary', 'skill', 'note', 'note'][k + 1] || '"}}', 1, pos FROM e
+UNION ALL SELECT 'session:' || sid, 'session', (SELECT arg_min(CASE WHEN place IS NOT NULL THEN 'project' WHEN st = 'M' THEN 'corpus' ELSE 'global' END, pos) FROM u WHERE u.sid = made.sid AND prior IS NULL), place, 'Session ' || sid, 'Session ' || sid || ' responsibility-unit index.', 'session://' || sid,
+  '{{"sessionId":"' || sid || '","responsibilityUnits":true}}', 1, -1 FROM made
+UNION ALL SELECT key, 'memory', CASE WHEN t % 2 = 0 THEN 'global' ELSE 'project' END, place, b, b, 'memory://' || path || CASE WHEN line <> 0 THEN '#L' || line ELSE '' END,
+  '{{"memoryId":"' || id || '","memoryType":"semantic","status":"active","sourcePath":"' || path || '","line":' || line || ',"projectPath":"' || place || '","threadId":"' || thread || '"}}', 2, id FROM (SELECT *, 'Use $' || upper(skill) || CASE t % 3 WHEN 0 THEN ', then stop' WHEN 1 THEN 'x instead' ELSE '' END AS b FROM k)
+UNION ALL SELECT 'evidence:' || path || ':' || line, 'evidence', CASE WHEN t % 2 = 0 THEN 'global' ELSE 'project' END, place, path || CASE WHEN line <> 0 THEN ':' || line ELSE '' END, b, rel.uri || CASE WHEN line <> 0 THEN '#L' || line ELSE '' END,
+  '{{"sourcePath":"' || path || '","line":' || line || ',"memoryId":"' || id || '"}}', 2, id
   FROM (SELECT *, 'Use $' || upper(skill) || CASE t % 3 WHEN 0 THEN ', then stop' WHEN 1 THEN 'x instead' ELSE '' END AS b FROM k) q JOIN rel ON rel = path),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY step, place_in) AS n, count(*) OVER (PARTITION BY source_key) AS n_all FROM x),
-c AS (SELECT source_key, count(DISTINCT kind || chr(0) || scope || chr(0) || coalesce(project, chr(1)) || chr(0) || coalesce(content, chr(1))) > 1 AS conflict FROM x GROUP BY source_key)
-SELECT source_key, kind, scope, project, label, uri, sha256(coalesce(content, '')) AS digest, conflict FROM r JOIN c USING (source_key) WHERE n = 1""")
+c AS (SELECT source_key, count(DISTINCT kind || chr(0) || scope || chr(0) || coalesce(project, chr(1)) || chr(0) || coalesce(content, chr(1))) > 1 AS conflict FROM x GROUP BY source_key)"""
+
+
+@query("g9_items", f"""
+WITH {_CORPUS}, {_ITEMS}
+SELECT source_key, kind, scope, project, label, uri, metadata, sha256(coalesce(content, '')) AS digest, conflict FROM r JOIN c USING (source_key) WHERE n = 1""")
 def g9_items(spark, d):
-    return snapshot.items(spark, *corpus(spark, d), PROJECT).select("source_key", "kind", "scope", "project", "label", "uri", F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"), "conflict")
+    return snapshot.items(spark, *corpus(spark, d), PROJECT).select("source_key", "kind", "scope", "project", "label", "uri", "metadata", F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"), "conflict")
+
+
+@query("u3_snapshot_sync", f"""
+WITH {_CORPUS}, {_ITEMS},
+i AS (SELECT source_key, replace(replace(coalesce(content, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS body FROM r WHERE n = 1),
+a AS (SELECT *, CASE WHEN source_key LIKE 'memory:%' OR source_key LIKE 'evidence:%' THEN body || ' (changed)' ELSE body END AS later FROM i),
+ids AS (SELECT 'graph-node:' || substr(sha256('notes' || chr(0) || source_key || chr(0)), 1, 24) AS id, source_key, body <> later AS changed FROM a)
+SELECT 'node' AS entity, 'updated' AS op, id FROM ids WHERE changed""")
+def u3_snapshot_sync(spark, d):
+    """A built snapshot, synced twice: the second time the memories' texts have changed; which nodes did."""
+    documents, memories, sets = corpus(spark, d)
+
+    def staged(notes):
+        key = {"source_adapter": F.lit("notes")}
+        made = snapshot.items(spark, documents, notes, sets, PROJECT).withColumns(key).select("source_adapter", *snapshot.ITEM)
+        met = snapshot.edges(documents, notes, sets, PROJECT).withColumns(key | {"target_adapter": F.lit("notes"), "metadata": F.lit("{}"), "input_pos": F.xxhash64("source_key", "target_key", "kind", "derivation", F.col("evidence_refs")[0])})
+        return made, met
+
+    first, _ = sync.sync(*staged(memories), None, "2026-01-01T00:00:00Z")
+    changed = memories.withColumn("body", F.concat("body", F.lit(" (changed)")))
+    _, delta = sync.sync(*staged(changed), first, "2026-01-02T00:00:00Z")
+    return delta.where("entity = 'node'").select("entity", "op", "id")
 
 
 # --- reading --------------------------------------------------------------------------------------

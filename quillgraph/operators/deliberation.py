@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.written import folder, written
 from . import linkage
 
 TARGET, REFERENCE, PLACE = 45, 15, 8
@@ -29,28 +32,99 @@ def claim_cards(candidates: DataFrame) -> DataFrame:
                        F.coalesce(F.nullif("body", F.lit("")), F.concat(F.lit("Unnamed claim "), F.col("place").cast("string"))).alias("body"), "refs", F.lit("proposed").alias("status"))
 
 
-def find_claims(claims: DataFrame, rows: DataFrame) -> DataFrame:
-    """(run, row, claim, score): the best claim of each row.
+def scored(claims: DataFrame, rows: DataFrame) -> DataFrame:
+    """(run, row, claim, score, ref): what body, targets and place tell of a row and a claim, and whether they share a reference.
 
-    Claims have run, id, place, body, refs, targets; rows run, id, place, body, refs,
-    targets.  To the body's score come 45 for a common target, 15 if the claim is the
-    only one that shares a reference, and 8 for the same place.  Rows without a
-    positive score, and ties under 60, have none; of others the first claim in order
-    of place wins.  Each bonus is an equi join.
+    Claims have run, id, place, body, refs, targets; rows run, id, place, body, refs, targets.
+    To the body's score come 45 for a common target and 8 for the same place.  Each bonus is an equi join.
     """
-    by_body = linkage.match(claims.select("run", "id", "body"), rows.where("body is not null").select("run", "id", "body")).select("run", "row", "claim", F.col("score").alias("s"))
+    by_body = linkage.match(claims.select("run", "id", "body"), rows.where("body <> ''").select("run", "id", "body")).select("run", "row", "claim", F.col("score").alias("s"))
 
     def sides(column: str) -> DataFrame:
         c = claims.select("run", F.col("id").alias("claim"), F.explode(column).alias("x"))
         r = rows.select("run", F.col("id").alias("row"), F.explode(column).alias("x"))
         return c.join(r, ["run", "x"]).select("run", "row", "claim").distinct()
 
-    w = Window.partitionBy("run", "row")
     by_target = sides("targets").select("run", "row", "claim", F.lit(TARGET).alias("s"))
-    by_ref = sides("refs").select("*", F.count(F.lit(1)).over(w).alias("n")).where("n = 1").select("run", "row", "claim", F.lit(REFERENCE).alias("s"))
+    by_ref = sides("refs").select("run", "row", "claim", F.lit(0).alias("s"), F.lit(True).alias("ref"))
     by_place = claims.select("run", F.col("id").alias("claim"), "place").join(rows.select("run", F.col("id").alias("row"), "place"), ["run", "place"]).select("run", "row", "claim", F.lit(PLACE).alias("s"))
-    every = by_body.unionByName(by_target).unionByName(by_ref).unionByName(by_place)
-    return linkage.best(every.groupBy("run", "row", "claim").agg(F.sum("s").cast("int").alias("score")).where("score > 0"), claims)
+    every = by_body.unionByName(by_target).unionByName(by_place).withColumn("ref", F.lit(False)).unionByName(by_ref)
+    return every.groupBy("run", "row", "claim").agg(F.sum("s").cast("int").alias("score"), F.bool_or("ref").alias("ref"))
+
+
+def with_reference(pairs: DataFrame) -> DataFrame:
+    """Scores with 15 more for the only claim of a row's that shares a reference; those that are positive."""
+    alone = F.count_if("ref").over(Window.partitionBy("run", "row")) == 1
+    return pairs.select("*", (F.col("score") + F.when(F.col("ref") & alone, REFERENCE).otherwise(0)).alias("total")).where("total > 0").drop("score", "ref").withColumnRenamed("total", "score")
+
+
+def find_claims(claims: DataFrame, rows: DataFrame) -> DataFrame:
+    """(run, row, claim, score): the best claim of each row (columns as in ``scored``).
+
+    A claim that is the only one that shares a reference has 15 more.  Rows without a
+    positive score, and ties under 60, have none; of others the first claim in order
+    of place wins.
+    """
+    return linkage.best(with_reference(scored(claims, rows)), claims)
+
+
+def take_turns(claims: DataFrame, rows: DataFrame, root: str) -> DataFrame:
+    """(run, row, claim): rows in order of ``turn`` take their best claim among those that no earlier row has taken.
+
+    Rows have columns as in ``scored`` and ``turn``.  A row is decided as soon as no earlier undecided row
+    could take any of its claims; all such rows of all runs are decided at once, so the number of
+    rounds is the longest chain of rows that compete, not the number of rows.  When all claims of a
+    run are taken, later rows choose among all, by the targets that the claims came with.  Written below ``root``.
+    """
+    turns = rows.select("run", F.col("id").alias("row"), "turn")
+    pairs = written(scored(claims, rows).join(turns, ["run", "row"]), root)
+    done = None
+    while True:
+        head = F.min("turn").over(Window.partitionBy("run", "claim"))
+        ready = pairs.select("*", (F.col("turn") == head).alias("mine")).select("*", F.bool_and("mine").over(Window.partitionBy("run", "row")).alias("ready"))
+        ready = written(ready.where("ready").drop("mine", "ready"), root)
+        if ready.isEmpty():
+            break
+        chosen = written(linkage.best(with_reference(ready.drop("turn")), claims).select("run", "row", "claim").join(turns, ["run", "row"]), root)
+        done = chosen if done is None else written(done.unionByName(chosen), root)
+        pairs = written(pairs.join(ready.select("run", "row").distinct(), ["run", "row"], "left_anti").join(chosen.select("run", "claim"), ["run", "claim"], "left_anti"), root)
+    if done is None:
+        return pairs.select("run", "row", "claim")
+    left = claims.groupBy("run").agg(F.count(F.lit(1)).alias("n")).join(done.groupBy("run").agg(F.count(F.lit(1)).alias("m"), F.max("turn").alias("last")), "run").where("n = m")
+    late = written(rows.join(left.select("run", "last"), "run").where("turn > last").drop("last"), root)
+    again = find_claims(claims, late).select("run", "row", "claim")
+    return done.select("run", "row", "claim").unionByName(again)
+
+
+def type_in_turn(claims: DataFrame, rows: DataFrame, root: str) -> DataFrame:
+    """(run, row, claim): rows in order of ``turn`` find their claim and hand it their targets, which later rows then meet.
+
+    Claims come without targets.  Rows none of whose targets an earlier row of the run has are
+    decided at once; the others one in each run at a time, by what their predecessors left.  Written below ``root``.
+    """
+    rows = written(rows.select("run", F.col("id").alias("row"), "turn", "place", "body", "refs", "targets"), root)
+    base = written(scored(claims.withColumn("targets", F.array().cast("array<string>")), rows.withColumnRenamed("row", "id")), root)
+    named = rows.select("run", "row", "turn", F.explode("targets").alias("x"))
+    later = named.withColumn("first", F.min("turn").over(Window.partitionBy("run", "x"))).where("turn > first").select("run", "row").distinct()
+    todo = written(rows.join(later, ["run", "row"]).select("run", "row", "turn", "targets"), root)
+    ready = rows.join(later, ["run", "row"], "left_anti").select("run", "row", "turn", "targets")
+    done = None
+    while True:
+        pairs = base.join(ready.select("run", "row"), ["run", "row"])
+        if done is not None:
+            # the targets that each claim has when the row's turn comes
+            before = ready.select("run", "row", F.col("turn").alias("now"), F.col("targets").alias("mine")).join(done, "run").where("turn < now")
+            held = before.groupBy("run", F.col("row").alias("row"), "claim", "mine").agg(F.max_by("targets", "turn").alias("theirs"))
+            met = held.where(F.arrays_overlap("mine", "theirs")).select("run", "row", "claim", F.lit(TARGET).alias("score"), F.lit(False).alias("ref"))
+            pairs = pairs.unionByName(met).groupBy("run", "row", "claim").agg(F.sum("score").cast("int").alias("score"), F.bool_or("ref").alias("ref"))
+        chosen = linkage.best(with_reference(pairs), claims).select("run", "row", "claim").join(rows.select("run", F.col("row"), "turn", "targets"), ["run", "row"])
+        chosen = chosen.select("run", F.col("row").alias("by"), "claim", "turn", "targets")
+        done = written(chosen if done is None else done.unionByName(chosen), root)
+        if todo.isEmpty():
+            return done.select("run", F.col("by").alias("row"), "claim")
+        head = todo.groupBy("run").agg(F.min("turn").alias("turn"))
+        ready = written(todo.join(head, ["run", "turn"]).select("run", "row", "turn", "targets"), root)
+        todo = written(todo.join(ready.select("run", "row"), ["run", "row"], "left_anti"), root)
 
 
 def first_messages(messages: DataFrame, step: str, phase: str) -> DataFrame:
@@ -108,3 +182,86 @@ def resolutions(claims: DataFrame, rejected: DataFrame, proposals: DataFrame) ->
         return met.groupBy("run", "claim").agg(F.min_by(F.coalesce("rationale", F.lit(words)), "pos").alias("resolution")).withColumn("rank", F.lit(rank))
     both = first(rejected, "Rejected during proposal synthesis.", 0).unionByName(first(proposals, "Accepted into final proposal synthesis.", 1))
     return both.groupBy("run", "claim").agg(F.min_by("resolution", "rank").alias("resolution"))
+
+
+@dataclass
+class Artifacts:
+    claims: DataFrame       # run, claim, place, body, refs, action, targets, confidence, status, reason
+    challenges: DataFrame   # run, challenge, claim, kind, raised_by, status, rationale, refs, resolution, message
+    trace: DataFrame        # run, move, n, kind, claim, challenge, agent, message, summary, refs
+    summary: DataFrame      # seven counts a run
+
+
+def artifacts(messages: DataFrame, rows: DataFrame) -> Artifacts:
+    """What the messages of many runs come to: claims with their final status, challenges, moves and counts.
+
+    Messages have run, pos, message, step, phase, status, agent; rows have run, message, list (candidates, typed, findings,
+    proposals, rejected), index from 0, body, refs, targets, action, confidence, relation, rationale, reason.
+    Claims come from all claim scouts; then the first editor's types, the first cartographer's and
+    auditor's findings and the first synthesis count.  A claim's status after the findings doesn't depend on their order but for
+    challenged, which stays; so it is an aggregate, as are the last type and the last decision.
+    Two things are decided in turn: which claim a type goes to, as types hand on their targets (``type_in_turn``), and
+    who takes which claim in the synthesis (``take_turns``).
+    """
+    spark = messages.sparkSession
+    root = folder(spark, "deliberation")
+    done = messages.where("status = 'succeeded'")
+    claim_no = F.row_number().over(Window.partitionBy("run").orderBy("pos", "index"))
+    found = done.where("step = 'claim-scout'").join(rows.where("list = 'candidates'"), ["run", "message"])
+    claims = found.select("run", "agent", "message", "refs", "body", claim_no.alias("place"))
+    claims = written(claims.select("run", F.concat(F.lit("claim:"), "run", F.lit(":"), F.col("place").cast("string")).alias("id"), "place", "agent", "message",
+                                   F.coalesce(F.nullif("body", F.lit("")), F.concat(F.lit("Unnamed claim "), F.col("place").cast("string"))).alias("body"), _list("refs").alias("refs")), root)
+
+    def of(step: str, phase: str, name: str, rank: int) -> DataFrame:
+        """Rows of the list of a run's first such message, in order."""
+        first = first_messages(messages, step, phase).select("run", "message", "agent", F.col("phase").alias("at"))
+        met = first.join(rows.where(F.col("list") == name), ["run", "message"])
+        return met.select("run", F.concat(F.lit(f"{rank}:"), F.col("index").cast("string")).alias("id"), (F.col("index") + 1).alias("place"), F.struct(F.lit(rank).alias("rank"), "index").alias("turn"), "message", "agent", "at",
+                          "body", _list("refs").alias("refs"), _list("targets").alias("targets"), "action", "confidence", "relation", "rationale", "reason")
+
+    bare = claims.select("run", "id", "place", "body", "refs", F.array().cast("array<string>").alias("targets"))
+    typed = of("proposal-editor", "typed-proposal", "typed", 0)
+    types = type_in_turn(bare, typed, root).select("run", F.col("row").alias("id"), "claim").join(typed, ["run", "id"])
+    types = types.groupBy("run", "claim").agg(F.max_by(F.struct("action", "targets", "confidence"), "turn").alias("t"))
+    known = written(claims.join(types.withColumnRenamed("claim", "id"), ["run", "id"], "left").select(*claims.columns, F.col("t.action").alias("action"), _list("t.targets").alias("targets"), F.col("t.confidence").alias("confidence")), root)
+    bare = known.select("run", "id", "place", "body", "refs", "targets")
+
+    findings = of("memory-cartographer", "memory-cartography", "findings", 1).unionByName(of("evidence-auditor", "preflight-critique", "findings", 2))
+    met = written(find_claims(bare, findings).select("run", F.col("row").alias("id"), "claim").join(findings, ["run", "id"]).withColumn("kind", text.challenge_kind(F.col("relation"))), root)
+    proposed, refused = of("decision-synthesizer", "proposal-synthesis", "proposals", 3), of("decision-synthesizer", "proposal-synthesis", "rejected", 4)
+    final = written(proposed.unionByName(refused), root)
+    why = resolutions(claims.select("run", "id", "body"), *[final.where(F.col("turn.rank") == k).where("body <> ''").select("run", "id", F.col("turn.index").alias("pos"), "body", (F.coalesce("reason", "rationale") if k == 4 else F.col("rationale")).alias("rationale")) for k in (4, 3)])
+    raised = met.where("kind is not null").join(why, ["run", "claim"], "left")
+    n = F.row_number().over(Window.partitionBy("run").orderBy("turn")).cast("string")
+    challenges = written(raised.select("run", F.concat(F.lit("challenge:"), "run", F.lit(":"), n).alias("challenge"), "claim", "kind", F.col("agent").alias("raised_by"), F.when(F.col("resolution").isNotNull(), "resolved").otherwise("open").alias("status"),
+                                       F.coalesce("rationale", F.concat("relation", F.lit(" relationship raised for claim."))).alias("rationale"), "refs", "resolution", "message", "turn"), root)
+
+    own = F.col("at").eqNullSafe(F.lit("proposal-synthesis"))
+    turns = take_turns(bare, final.where(own), root).unionByName(find_claims(bare, final.where(~own)).select("run", "row", "claim"))
+    taken = written(turns.select("run", F.col("row").alias("id"), "claim").join(final, ["run", "id"]), root)
+    decided = taken.where(own).withColumn("accepted", F.col("turn.rank") == 3)
+    last = decided.groupBy("run", "claim").agg(F.max_by(F.struct("accepted", F.when(F.col("accepted"), F.col("rationale")).otherwise(F.coalesce("reason", "rationale")).alias("reason")), "turn").alias("d"),
+                                               F.max_by(F.struct("action", "targets", "confidence"), F.when(F.col("accepted"), F.col("turn"))).alias("p"))
+    state = met.groupBy("run", "claim").agg(F.bool_or(F.col("kind").isNotNull()).alias("challenged"), F.bool_or(F.col("relation").eqNullSafe(F.lit("novel"))).alias("novel"))
+    state = state.join(why, ["run", "claim"], "left").join(last, ["run", "claim"], "full_outer").withColumnRenamed("claim", "id")
+    status = (F.when(F.col("d.accepted"), "accepted").when(F.col("d").isNotNull(), "rejected").when(F.col("challenged"), "challenged").when(F.col("novel"), "endorsed").otherwise("unresolved"))
+    out = known.join(state, ["run", "id"], "left").select(
+        "run", F.col("id").alias("claim"), "place", "body", "refs", F.coalesce("p.action", "action").alias("action"), F.when(F.col("p").isNotNull(), F.col("p.targets")).otherwise(F.col("targets")).alias("targets"),
+        F.coalesce("p.confidence", "confidence").alias("confidence"), status.alias("status"), F.when(F.col("d").isNotNull(), F.col("d.reason")).when(F.col("challenged"), F.col("resolution")).alias("reason"))
+
+    null = F.lit(None).cast("string")
+    moves = [claims.select("run", F.struct(F.lit(0).alias("rank"), F.col("place").alias("index")).alias("turn"), F.lit("claim").alias("kind"), F.col("id").alias("claim"), null.alias("challenge"), "agent", "message", F.col("body").alias("summary"), "refs"),
+             met.where("relation = 'novel'").select("run", "turn", F.lit("endorsement").alias("kind"), "claim", null.alias("challenge"), "agent", "message", F.coalesce("rationale", F.lit("Claim was endorsed as novel.")).alias("summary"), "refs"),
+             challenges.select("run", "turn", F.lit("challenge").alias("kind"), "claim", "challenge", F.col("raised_by").alias("agent"), "message", F.col("rationale").alias("summary"), "refs"),
+             taken.select("run", "turn", F.when(F.col("turn.rank") == 3, "handoff").otherwise("challenge").alias("kind"), "claim", null.alias("challenge"), "agent", "message",
+                          F.when(F.col("turn.rank") == 3, F.coalesce("rationale", F.lit("Claim was handed off as a proposal candidate."))).otherwise(F.coalesce("reason", "rationale", F.lit("Claim was rejected."))).alias("summary"), "refs")]
+    every = moves[0]
+    for part in moves[1:]:
+        every = every.unionByName(part)
+    trace = numbered(every.withColumnRenamed("turn", "pos")).withColumn("n", F.substring_index("move", ":", -1).cast("int")).drop("pos")
+    challenges = challenges.drop("turn")
+    return Artifacts(out, challenges, trace, summary(out, challenges, trace))
+
+
+def _list(c: str) -> Column:
+    return F.coalesce(c, F.array().cast("array<string>"))

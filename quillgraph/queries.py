@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from .functions import identity, text
 from .operators import checks, evaluation, folds, graph, journal, linkage, search, sync, walk
 from .plans import responsibility
 from .sources import sessions
+from .sources.written import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -456,7 +455,6 @@ UNION ALL SELECT 'edge', id, -1 FROM l1 UNION ALL SELECT 'edge', id, -1 FROM x2"
 def g5_hydrate(spark, d):
     """What a plan from one region may need, from a graph laid out in buckets: nodes with their depth, and edges."""
     nodes, e = key_graph(spark, d)
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    stored = walk.Adjacency.write(e, f"{base.rstrip('/')}/adjacency-{uuid.uuid4().hex}", 32)
+    stored = walk.Adjacency.write(e, folder(spark, "adjacency"), 32)
     found = walk.hydrate(nodes, stored, ["r1"], ["r1"], 2, 4000, 12_000)
     return spark.createDataFrame([("node", *x) for x in found.nodes.items()] + [("edge", x, -1) for x in found.edges], "what string, id string, depth int")

@@ -354,3 +354,21 @@ def a9_summary(spark, d):
     lines = read(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     challenges = lines.where("l_returnflag = 'R'").select("run", F.when(F.col("l_linestatus") == "O", "open").otherwise("resolved").alias("status"))
     return deliberation.summary(orders.select("run", F.element_at(names, F.col("o_orderstatus")).alias("status")), challenges, lines.select("run"))
+
+
+@query("d3_artifacts")
+def d3_artifacts(spark, d):
+    """Conversations as runs: user turns are claims, assistant turns judge them; the claims with what became of them."""
+    c, t = F.col("conv_id").cast("string"), F.col("turn")
+    talk = read(spark, d, "conversations").where("text is not null")
+    part = F.when(F.col("role") == "user", 0).otherwise(t % 4 + 1)
+    step = F.element_at(F.array(*map(F.lit, ("claim-scout", "proposal-editor", "memory-cartographer", "evidence-auditor", "decision-synthesizer"))), (part + 1).cast("int"))
+    phase = F.element_at(F.array(*map(F.lit, ("candidate-proposal", "typed-proposal", "memory-cartography", "preflight-critique", "proposal-synthesis"))), (part + 1).cast("int"))
+    names = F.element_at(F.array(*map(F.lit, ("candidates", "typed", "findings", "findings", "proposals"))), (part + 1).cast("int"))
+    messages = talk.select(c.alias("run"), t.alias("pos"), F.concat(F.lit("m"), t.cast("string")).alias("message"), step.alias("step"), phase.alias("phase"), F.lit("succeeded").alias("status"), F.col("role").alias("agent"))
+    # each line of a turn is a row
+    lines = talk.select("*", F.posexplode(F.split("text", "[.\n]")).alias("index", "line")).where("trim(line) <> ''")
+    relation = F.element_at(F.array(*map(F.lit, ("novel", "refinement", "duplicate"))), (F.length("line") % 3 + 1).cast("int"))
+    rows = lines.select(c.alias("run"), F.concat(F.lit("m"), t.cast("string")).alias("message"), names.alias("list"), "index", F.trim("line").alias("body"), F.array(F.concat(F.lit("r"), (F.length("line") % 7).cast("string"))).alias("refs"),
+                        F.array().cast("array<string>").alias("targets"), F.lit("create").alias("action"), F.lit(0.5).alias("confidence"), relation.alias("relation"), F.lit(None).cast("string").alias("rationale"), F.lit(None).cast("string").alias("reason"))
+    return deliberation.artifacts(messages, rows).claims.select("run", "claim", "place", "status", "action", "reason")

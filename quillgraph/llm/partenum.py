@@ -15,7 +15,7 @@
 5. Sets of which m signatures or more are still shared with other components are signed anew by more and smaller
    parts, of which the most frequent may go as long as one that partners share is left; and with
    them go empty parts and common passages.  Sets meet a few pivots by what is left, those that
-   share most with others, then all of other components.
+   share most with others, then all of other components whose bitmaps don't differ in too much.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ PERCENT, SKETCH, SLOTS, NEAREST = 80, 64, 4, 10
 BROADCAST = 1_000_000
 #: Differences up to which subsets of one part's smaller parts are enumerated.
 ENUMERATED = 3
+#: Length of the bitmaps that tell from below how far two sets differ.
+BITS = 2048
 _CHUNK = 400_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -124,6 +126,25 @@ def _signatures(percent: int, fine: bool):
     return run
 
 
+def bitmaps(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of BITS bits for each set, each the parity of the elements that fall on it: sets that differ
+    in h elements differ in at most h bits."""
+    h = shingles.mix((flat.view(np.uint64) ^ _SALT) * _SALT) % np.uint64(BITS)
+    odd = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * BITS + h.astype(np.int64), minlength=len(sizes) * BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sizes), BITS // 64)
+
+
+def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (doc, shingles) to (doc, bits)."""
+    for batch in batches:
+        for i in range(0, len(batch), 500):
+            part = batch.slice(i, 500)
+            ends = part.column(1).offsets.to_numpy().astype(np.int64)
+            words = bitmaps(part.column(1).flatten().to_numpy(), np.diff(ends))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * words.shape[1], pa.int32()), pa.array(words.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc", "bits"])
+
+
 def _signed(sets: DataFrame, percent: int, fine: bool) -> DataFrame:
     return sets.select("doc", "component", "n", "shingles").mapInArrow(_signatures(percent, fine), "doc bigint, component bigint, n bigint, band int, sig bigint")
 
@@ -217,8 +238,12 @@ def _rest_pairs(crowded: DataFrame, comps: DataFrame, percent: int, pivots: bool
         ordered = F.transform(F.array_sort(F.collect_set(F.struct("place", "other"))), lambda r: r["other"])  # as many as the set has parts at most
         few = met.groupBy("doc").agg(F.slice(F.array_distinct(ordered), 1, NEAREST).alias("others"))
         return _ordered(few.select("doc", F.explode("others").alias("other")))
-    other = index.select("sig", F.col("doc").alias("other"), F.col("n").alias("on"), F.col("component").alias("oc"), F.col("place").alias("op"))
-    return _ordered(index.join(other, "sig").where(fits & (F.col("doc") < F.col("other"))).select("doc", "other"))
+    bits = crowded.select("doc", "shingles").mapInArrow(_mapped, "doc bigint, bits array<bigint>")
+    index = scratch.table(index.drop("central").join(apart(bits), "doc"))
+    other = index.select("sig", F.col("doc").alias("other"), F.col("n").alias("on"), F.col("component").alias("oc"), F.col("place").alias("op"), F.col("bits").alias("ob"))
+    apart_by = F.aggregate(F.zip_with("bits", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    near = fits & (F.col("doc") < F.col("other")) & (apart_by <= _most(F.col("n"), F.col("on"), percent))
+    return _ordered(index.join(other, "sig").where(near).select("doc", "other"))
 
 
 def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -246,6 +271,8 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     comps = components(_links(pairs, classes, full, percent, scratch), scratch)
     crowded = _crowded(_placed(full, comps), percent, scratch)
     for pivots in (True, False):
+        if not pivots:
+            crowded = _crowded(_placed(crowded.drop("component"), comps), percent, scratch)
         seen = Observation()
         rest = scratch.table(_rest_pairs(crowded, comps, percent, pivots, scratch), seen)
         if seen.get["n"]:

@@ -58,6 +58,17 @@ def test_similar_sets_share_signatures(fine):
     assert tried > 300
 
 
+def test_bitmaps_differ_no_more_than_their_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 62, n)) for n in (1, 5, 300, 4000)]
+    sets += [np.union1d(x[:-1], rng.integers(0, 1 << 62, 3)) for x in sets] + [sets[2].copy()]
+    bits = partenum.bitmaps(np.concatenate(sets), np.array([len(x) for x in sets]))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            far = int(np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum())
+            assert far <= len(np.setxor1d(x, y)) and (far == 0) == (i == j or {i, j} == {2, 8})
+
+
 def edited(rng, words, rate):
     return [f"e{rng.randrange(10 ** 6)}" if rng.random() < rate else w for w in words]
 

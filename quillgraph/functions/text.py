@@ -100,6 +100,11 @@ def is_scaffolding(c: Column) -> Column:
     return out
 
 
+# Wordings that make a note operational or procedural.
+OPERATIONAL = ("preference", "when the user", "should ")
+PROCEDURAL = ("failure", "fix:", "symptom:")
+
+
 def memory_type(heading: Column, body: Column) -> Column:
     """operational, procedural or semantic, by wording."""
     t = F.lower(F.concat(F.coalesce(heading, F.lit("")), F.lit(" "), body))
@@ -108,7 +113,7 @@ def memory_type(heading: Column, body: Column) -> Column:
         for w in words:
             out = out | F.contains(t, F.lit(w))
         return out
-    return F.when(has("preference", "when the user", "should "), "operational").when(has("failure", "fix:", "symptom:"), "procedural").otherwise("semantic")
+    return F.when(has(*OPERATIONAL), "operational").when(has(*PROCEDURAL), "procedural").otherwise("semantic")
 
 
 def is_negative(c: Column) -> Column:
@@ -129,6 +134,7 @@ def overlaps_materially(both: Column, left: Column, right: Column) -> Column:
     return both >= F.greatest(F.lit(3), F.ceil(F.least(left, right) * 0.3))
 
 
+# Fixed values in the next function: the score of each step, and the shares of common tokens.
 def body_match(claim: Column, row: Column, overlap: Column, sizes: tuple[Column, Column]) -> Column:
     """0 to 100: how well a row's body tells a claim; both texts squeezed and lower-case."""
     ratio = overlap / F.least(*sizes)
@@ -157,6 +163,7 @@ def conclusion(action: Column, body: Column) -> Column:
     return F.concat(F.coalesce(action, F.lit("")), F.lit("\0"), F.lower(squeeze(F.coalesce(body, F.lit("")))))
 
 
+# Fixed values in the next two functions: the patterns of ids, paths and secrets.
 def scrub(c: Column) -> Column:
     """A query without ids and paths that would give its answer away."""
     out = F.regexp_replace(c, r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", " ")

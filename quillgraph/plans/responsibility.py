@@ -35,6 +35,12 @@ class Limits:
     kinds: tuple[str, ...] | None = None
 
 
+def _named(nodes: DataFrame, explicit: list[str]):
+    """Whether a node is named by its id or, where there is one, its source key."""
+    by_id = F.col("id").isin(list(explicit))
+    return by_id | F.coalesce(F.col("source_key").isin(list(explicit)), F.lit(False)) if "source_key" in nodes.columns else by_id
+
+
 def seeds(nodes: DataFrame, request: str, limits: Limits, explicit: list[str] = (), changed: DataFrame | None = None, stop=text.PLAN_STOP_WORDS) -> DataFrame:
     """(id, score, reasons) of the best five; ``nodes`` has content.
 
@@ -43,7 +49,7 @@ def seeds(nodes: DataFrame, request: str, limits: Limits, explicit: list[str] =
     """
     words = text.query_tokens(request, stop)
     lexical = lexical_score(F.col("label"), F.col("content"), F.coalesce("metadata", F.lit("")), words)
-    rows = nodes.select("id", "kind", lexical.alias("lexical"), F.col("id").isin(list(explicit)).alias("explicit"))
+    rows = nodes.select("id", "kind", lexical.alias("lexical"), _named(nodes, explicit).alias("explicit"))
     if changed is not None:
         marks = changed.select(F.col("id").alias("c_id")).distinct()
         rows = rows.join(marks, F.col("id") == F.col("c_id"), "left").withColumn("changed", F.col("c_id").isNotNull()).drop("c_id")
@@ -124,7 +130,9 @@ def build(nodes: DataFrame, edges: DataFrame | walk.Adjacency, request: str, sco
         admit(node, facts[node], 0, None, True)
     order = list(picked)
     adjacency = edges if isinstance(edges, walk.Adjacency) else walk.Adjacency.of(edges)
-    parts = []
+    # nodes that the request names but may not see
+    refused = F.when(~F.col("in_scope"), "scope-mismatch").when(F.col("size") < 0, "missing-revision").when(~F.col("is_fresh"), "freshness-limit")
+    parts = [seen.where(_named(seen, explicit)).select(refused.alias("reason"), F.col("id").alias("node"), F.lit(None).cast("string").alias("edge")).where("reason is not null")]
 
     def full() -> bool:
         return len(picked) >= limits.nodes or room["chars"] <= 0 or room["tokens"] <= 0
@@ -211,8 +219,7 @@ def plan(nodes: DataFrame, adjacency: walk.Adjacency, request: str, scope: str,
     spark = nodes.sparkSession
     most = max(16, min(1000, 4 * limits.nodes))
     pool = nodes.where(g.eligible(scope, project) & F.col("kind").isin(*FALLBACK_KINDS))
-    named = spark.createDataFrame([(x,) for x in explicit], "id string")
-    ids = search(pool, request, most).select("id").unionByName(nodes.join(F.broadcast(named), "id", "left_semi").select("id"))
+    ids = search(pool, request, most).select("id").unionByName(nodes.where(_named(nodes, explicit)).select("id"))
     if changed is not None:
         ids = ids.unionByName(nodes.join(changed.select("id"), "id", "left_semi").select("id"))
     known = [r["id"] for r in ids.distinct().orderBy("id").collect()]  # at most ``most`` hits, besides what the request itself names

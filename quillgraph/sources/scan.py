@@ -21,6 +21,13 @@ def timestamp_of(raw: Column) -> Column:
     return F.nullif(F.regexp_extract(F.substring(raw, 1, PREFIX), r'"timestamp"\s*:\s*"([^"]+)"', 1), F.lit(""))
 
 
+def within_days(timestamp: Column, now: str, days: int | None) -> Column:
+    """Whether a session is young enough; no limit, a limit of 0, and times that are missing or unreadable pass."""
+    if not days:
+        return F.lit(True)
+    return F.coalesce(F.try_to_timestamp(timestamp) >= F.lit(now).cast("timestamp") - F.make_dt_interval(days=F.lit(days)), F.lit(True))
+
+
 def scopes(lines: DataFrame) -> DataFrame:
     """One row a file: session_id, cwds, first_ts, last_ts, long_lines, headed.
 

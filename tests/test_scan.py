@@ -43,3 +43,9 @@ def test_sets_and_artifacts(spark, tmp_path):
     scan.write_artifact(rows, str(tmp_path / "run"), "claims")
     assert scan.read_artifact(spark, str(tmp_path / "run"), "claims", "id int, body string").collect() == rows.collect()
     assert scan.read_artifact(spark, str(tmp_path / "run"), "none", "id int").count() == 0
+
+
+def test_days_of_sessions(spark):
+    rows = spark.createDataFrame([("2026-07-09T00:00:00Z",), ("2026-06-01T00:00:00Z",), ("no time",), (None,)], "t string")
+    young = (lambda days: [r[0] for r in rows.select(scan.within_days(rows["t"], "2026-07-10T00:00:00Z", days)).collect()])
+    assert young(7) == [True, False, True, True] and young(0) == young(None) == [True] * 4

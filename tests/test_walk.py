@@ -204,3 +204,12 @@ def test_plan_from_a_stored_graph(spark, tmp_path):
     alone = responsibility.plan(nodes, stored, "no such words", "global", None, NOW, explicit=[])
     assert [(r["id"], r["reasons"]) for r in alone.plan.seeds.collect()] == [("n000", ["deterministic-fallback"])]
     assert alone.nodes.where(F.col("id") > "n002").count() == 0
+
+
+def test_named_nodes_that_are_refused(spark):
+    """What a request names but may not see is listed; a source key names a node too."""
+    rows = [("a", "memory", "global", None, "a", "t", "{}", NOW, "k:a"), ("b", "memory", "project", "/q", "b", "t", "{}", NOW, "k:b"), ("c", "memory", "global", None, "c", None, "{}", NOW, "k:c"), ("d", "memory", "global", None, "d", "t", "{}", "2020-01-01T00:00:00Z", "k:d")]
+    nodes = spark.createDataFrame(rows, NODE + ", source_key string")
+    p = responsibility.build(nodes, spark.createDataFrame([], EDGE), "", "project", "/p", NOW, responsibility.Limits(days=30), ["k:a", "b", "c", "k:d"])
+    assert [(r["id"], r["reasons"]) for r in p.seeds.collect()] == [("a", ["explicit-id"])]
+    assert {tuple(r) for r in p.exclusions.collect()} == {("scope-mismatch", "b", None), ("missing-revision", "c", None), ("freshness-limit", "d", None)}

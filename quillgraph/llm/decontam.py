@@ -116,6 +116,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontam_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that leak no item."""
+    """Rows of ``docs`` that leak no item, all columns as they are.
+
+    Texts that are null or without words leak nothing and stay, as do rows with a null doc_id that leak none; rows that
+    share an id go together.  Without documents or items nothing goes.
+    """
     gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("_llm_key")).distinct()
     return with_decision(docs, apart(gone), "left_anti").select(*own(docs))

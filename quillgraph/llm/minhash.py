@@ -141,6 +141,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup_stage(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose document is kept: the smallest doc_id of each group."""
+    """Rows of ``docs`` whose document is kept: the smallest doc_id of each group, all columns as they are.
+
+    Rows with a null doc_id and texts without words stay; of equal texts with different ids one stays; rows
+    that share an id stay or go together.  An empty table gives an empty table.
+    """
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_llm_key")).distinct()
     return with_decision(docs, apart(gone), "left_anti").select(*own(docs))

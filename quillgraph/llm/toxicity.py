@@ -214,7 +214,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity_stage(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` that score below the threshold."""
+    """Rows of ``docs`` that score below the threshold, all columns as they are.
+
+    Every row is judged by its own text, repeated rows and null ids too; null and empty texts
+    score as texts without content do, which is below the threshold.  An empty table gives an empty table.
+    """
     cols = [F.col(f"`{c}`") for c in docs.columns]
     packed = docs.select(F.struct(*cols).alias("_llm_row"), F.col("text").cast("string").alias("_llm_text"))
     out = packed.mapInArrow(_scores(model), T.StructType([packed.schema["_llm_row"], T.StructField("score", T.DoubleType())]))

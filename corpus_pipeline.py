@@ -11,28 +11,31 @@ from quillgraph.llm.common import Scratch
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on a bounded sample of the labelled rows of the input, takes for ordinary."""
+    """Documents that the classifier, trained on a bounded sample of the labelled rows of the input, takes for ordinary.
+
+    Rows are judged one by one, whatever their ids; null and empty texts stay; without labels nothing goes.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.toxicity_stage(docs, toxicity.fit(toxicity.training_rows(docs, labels)))
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that many documents hold."""
+    """Documents without lines that many documents hold; all rows stay, null texts stay null."""
     return line_dedup.dedup_stage(docs)
 
 
 def stage_minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies; rows without words or without an id stay."""
     return minhash.near_dedup_stage(docs)
 
 
 def stage_decontam(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; rows without words stay."""
     return decontam.decontam_stage(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight asks, with their place in the mixture."""
+    """Documents as often as their source's weight asks, with their place in the mixture; a null source is a source of its own."""
     return mixing.mix_stage(docs)
 
 

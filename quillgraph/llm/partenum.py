@@ -62,7 +62,7 @@ def plan(k: int, fine: bool) -> tuple[int, int, int]:
     More: parts that are signed whole, half as many again as there can be differences.
     """
     if fine:
-        return max(3 * k, 16), 1, 0
+        return max(2 * k, 16), 1, 0
     return (1, k + 3, k) if k <= ENUMERATED else (k + k // 2 + 1, 1, 0)
 
 

@@ -116,12 +116,13 @@ def session_by_id(placed: DataFrame, made: DataFrame) -> DataFrame:
 def skill_mentions(memories: DataFrame, placed: DataFrame) -> DataFrame:
     """(key, id, skill_key, skill_name): memories that name a skill as ``$name`` between blanks or before punctuation.
 
-    Mentions are cut out of the body, so they meet names by an equi join.  A name
+    Mentions are cut out of the body, so they meet names by an equi join, each name of a
+    skill once, however many documents tell it.  A name
     may itself hold blanks or punctuation: a mention is every beginning of what
     follows the ``$`` that ends where a mention may end, as long as the longest name
     has words.
     """
-    skills = placed.where(_known("skill_name").isNotNull()).select(F.lower("skill_name").alias("name"), "skill_name", F.col("key").alias("skill_key"), F.size(F.split("skill_name", r"\s")).alias("words"))
+    skills = placed.where(_known("skill_name").isNotNull()).select(F.lower("skill_name").alias("name"), "skill_name", F.col("key").alias("skill_key"), F.size(F.split("skill_name", r"\s")).alias("words")).distinct()
     most = skills.agg(F.coalesce(F.max("words"), F.lit(0)).alias("most"))
     rest = memories.select("key", "id", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(r"(?s)(?:^|(?<=\s))\$(.+?(?=(?<!\S)\$|\z))"), 1)).alias("rest")).join(F.broadcast(most))
     tail = F.transform(F.sequence(F.lit(1), F.greatest("most", F.lit(1))), lambda n: F.array_join(F.slice(F.split("rest", r"(?<=\s)"), F.lit(1), n), ""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.written import folder, written
+
 
 def budget(rows: DataFrame, size: Column, total: int, order: list, by: list[str]) -> DataFrame:
     """``taken`` characters of each row under a running budget: whole, cut, or 0; by prefix sums."""
@@ -20,9 +22,22 @@ def round_robin(rows: DataFrame, group: str, key: str, limit: int) -> DataFrame:
 
 
 def systematic(rows: DataFrame, by: str, key: str, limit: int) -> DataFrame:
-    """``limit`` rows of each group at even distances: places floor(i * n / limit)."""
-    w = Window.partitionBy(by)
-    placed = rows.select("*", (F.row_number().over(w.orderBy(key)) - 1).alias("place"), F.count(F.lit(1)).over(w).alias("n"))
+    """``limit`` rows of each group at even distances: places floor(i * n / limit).
+
+    Rows are written in sorted ranges of group and key; a row's place is its place in its range after those of
+    the ranges before it, so no task holds a group, however few there are.
+    """
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), by, key).sortWithinPartitions(by, key)
+    # ids ascend in the order of the rows, 2^33 apart from range to range
+    dealt = written(dealt.select("*", F.monotonically_increasing_id().alias("_at")), folder(spark, "systematic"))
+    part = F.shiftright("_at", 33)
+    w = Window.partitionBy("_by")
+    before = F.coalesce(F.sum("m").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = dealt.groupBy(F.col(by).alias("_by"), part.alias("_part")).agg(F.count(F.lit(1)).alias("m"), F.min("_at").alias("_first"))
+    ranges = ranges.select("_by", "_part", "_first", before.alias("_before"), F.sum("m").over(w).alias("n"))
+    placed = dealt.join(F.broadcast(ranges), F.col(by).eqNullSafe(F.col("_by")) & (part == F.col("_part")))
+    placed = placed.select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias("place"), "n")
     # place p is taken if some i has floor(i * n / limit) = p
     i = F.ceil(F.col("place") * limit / F.col("n"))
     return placed.where((F.col("n") <= limit) | ((i < limit) & (F.floor(i * F.col("n") / limit) == F.col("place")))).drop("place", "n")
